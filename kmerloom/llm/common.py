@@ -188,13 +188,19 @@ class Words:
             up, down = _powers(n + 1)
             total = np.zeros(n + 1, U64)
             np.cumsum(_values()[data] * up[:n], out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+            self.total, self.down = total, down
+            self.hash = self.part(self.end)
         else:
             self.start = self.end = np.zeros(0, np.int64)
+            self.total = self.down = np.ones(1, U64)
             self.hash = np.zeros(0, U64)
         self.at = np.searchsorted(self.start, off)  # words of text d: at[d]..at[d+1]
         self.count = np.diff(self.at)
 
+    def part(self, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from each word's start to `end`."""
+        return mix((self.total[end] - self.total[self.start]) * self.down[self.start])
+
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 

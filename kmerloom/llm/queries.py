@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, search
+from . import langid, licences, mixing, quality, search, toxicity
 
 QUERIES = {
     "op1_topk": search.op1_topk,
+    "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
+    "op5_language": langid.op5_language,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_licences": licences.op8_licences,
 }
 
 ORACLES = {

@@ -203,7 +203,7 @@ class Scanner:
         labels, score, spans = [], np.zeros(n), [""] * n
         for i in range(n):
             own = set(base.get(i, ()))
-            if i in found:
+            if found.get(i):
                 best = self.best(found[i])
                 score[i] = max(x[0] for x in best)
                 good = sorted((self.label[t], f, e) for s, t, f, e in best if s >= SHARE)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, licences, mixing, quality, search, toxicity
+from . import langid, licences, mixing, packing, quality, search, toxicity
 
 QUERIES = {
     "op1_topk": search.op1_topk,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
+    "op4_packing": packing.op4_packing,
     "op5_language": langid.op5_language,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_licences": licences.op8_licences,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licences, mixing, packing, quality, search, toxicity
+from . import langid, licences, mixing, near_dups, packing, quality, search, toxicity
 
 QUERIES = {
     "op1_topk": search.op1_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language": langid.op5_language,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_licences": licences.op8_licences,
+    "op9_near_duplicates": near_dups.op9_near_duplicates,
 }
 
 ORACLES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licences, mixing, near_dups, packing, quality, search, toxicity
+from . import langid, licences, mixing, near_dups, packing, quality, search, substrings, toxicity
 
 QUERIES = {
     "op1_topk": search.op1_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
     "op5_language": langid.op5_language,
+    "op6_substrings": substrings.op6_substrings,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_licences": licences.op8_licences,
     "op9_near_duplicates": near_dups.op9_near_duplicates,
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_topk": search.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op6_substrings": substrings.OP6_SQL,
 }

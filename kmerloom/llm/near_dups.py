@@ -245,5 +245,19 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"))
 
 
+def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that stand for their class: one document of each class (the smallest id) and those with a null id.
+
+    Of rows that share an id, one stays.
+    """
+    classes = saved(near_duplicates(docs, **options))
+    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    known = kept.where(kept["doc_id"].isNotNull()).dropDuplicates(["doc_id"])
+    return known.unionByName(kept.where(kept["doc_id"].isNull()))
+
+
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_map, crc_mod, mix, only, slices, sums_by, to_batch
+from .common import U64, Words, arrow_map, crc_mod, mix, only, ship, slices, sums_by, to_batch
 
 #: Labelled rows that teach, at most (about): a hash of the id picks them.
 TRAIN_ROWS = 12_000
@@ -144,41 +144,54 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
     return train([(int(y), np.frombuffer(b, np.uint32), np.frombuffer(s, np.uint32)) for y, b, s in found])
 
 
+def _judge(col: pa.Array, model: tuple[np.ndarray, float]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, where sentences open, the sentences of each text (at), and the probability of each sentence."""
+    weights, bias = model
+    w, bins, opens = sentences(col)
+    z = np.add.reduceat(weights[bins].astype(np.float64), PER_WORD * opens) + bias if len(opens) else np.zeros(0)
+    return w, opens, np.searchsorted(opens, w.at), 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """docs(doc_id, text) -> a row each with its score and its worst sentence (byte range in the text).
 
     A null or empty text has no sentence: score 0. A null id counts as held out.
     """
-    weights, bias = model
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w8 = held.value
         for b in slices(batches):
-            w, bins, opens = sentences(b.column("text"))
-            at = np.searchsorted(opens, w.at)
-            z = np.add.reduceat(w8[bins].astype(np.float64), PER_WORD * opens) + bias if len(opens) else np.zeros(0)
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            last = np.append(opens[1:], len(w.start)) - 1
+            w, opens, at, p = _judge(b.column("text"), held.value)
             n = np.diff(at)
-            worst = np.full(b.num_rows, -1)
+            worst = np.zeros(b.num_rows, np.int64)
             for i in np.flatnonzero(n):
                 worst[i] = at[i] + p[at[i] : at[i + 1]].argmax()
-            has = worst >= 0
-            pick = lambda v: pa.array(np.where(has, v, 0), mask=~has)
-            k = np.maximum(worst, 0)
-            o = opens[k] if len(opens) else k
-            e = last[k] if len(opens) else k
-            home = w.off[:-1]
+            none = n == 0
+            last = np.append(opens[1:], len(w.start)) - 1
+            pick = lambda v: pa.array(v[worst] if len(v) else np.zeros(b.num_rows, v.dtype), mask=none)  # noqa: B023, E731
+            home = np.repeat(w.off[:-1], n)
             yield to_batch(
                 _SCORES, doc_id=b.column("doc_id"), held_out=b.column("held_out"), score=noisy_or(p, at), n_sentences=n, n_toxic=sums_by(p >= 0.5, at),
-                worst_start=pick(w.start[o] - home if len(opens) else k), worst_end=pick(w.end[e] - home if len(opens) else k), worst_score=pick(p[k] if len(opens) else k * 0.0),
+                worst_start=pick(w.start[opens] - home), worst_end=pick(w.end[last] - home if len(opens) else home), worst_score=pick(p),
             )
 
     d = only(docs, doc_id="bigint", text="string").withColumn("held_out", crc_mod("doc_id", 5) <= 0)
     return arrow_map(d, run, _SCORES)
 
 
+def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """The rows of docs, all columns, whose score is below 0.5."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            _, _, at, p = _judge(b.column("text"), held.value)
+            yield b.filter(pa.array(noisy_or(p, at) < 0.5))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     s = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licences, mixing, near_dups, packing, quality, search, substrings, toxicity
+from . import langid, licences, lm, mixing, near_dups, packing, quality, search, substrings, toxicity
 
 QUERIES = {
     "op1_topk": search.op1_topk,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_licences": licences.op8_licences,
     "op9_near_duplicates": near_dups.op9_near_duplicates,
+    "op10_lm": lm.op10_lm,
 }
 
 ORACLES = {

@@ -68,8 +68,17 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df: the file size for a scan, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the size of df: the file size for a scan, without a job.
+
+    Where it has none (it then says 8 EB, or multiplies the sides of a join),
+    the texts are measured.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 50:
+        return size
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    row = df.agg(F.coalesce(F.sum(sum(texts, F.lit(512).cast("bigint"))), F.lit(0))).first()
+    return int(row[0])
 
 
 def only(df: DataFrame, **cols: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.sequences import gc_content
 
+from kmerloom.plans.lineage import saved
+
 from . import intervals as I
 
 _MATCH = "target_id long, candidate_id long"
@@ -74,22 +76,24 @@ def null_sequences(positives: DataFrame, genome: DataFrame, masks: DataFrame, xf
     absent. Half-even rounding of n * xfold.
     """
     spark = positives.sparkSession
-    sizes = genome.select(F.dense_rank().over(_by("chrom")).alias("ord"), "chrom", F.length("seq").alias("length"))
-    n = positives.count()
+    sizes = saved(genome.select(F.dense_rank().over(_by("chrom")).alias("ord"), "chrom", F.length("seq").alias("length")))
+    t = saved(features(positives, genome, masks).select("id", "gc", "len", "rep"))
+    n = t.count()
     copies = round(n * xfold)
     times = -(-copies // max(n, 1))
-    t = features(positives, genome, masks).select("id", "gc", "len", "rep")
     many = t.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(times - 1, 0)))))
     many = many.withColumn("target", F.col("id")).withColumn("id", F.xxhash64("id", "c"))
-    kept = many.orderBy("c", F.xxhash64("target", F.lit(seed))).limit(copies).select("id", "target", "gc", "len", "rep").persist()
+    kept = saved(many.orderBy("c", F.xxhash64("target", F.lit(seed))).limit(copies).select("id", "target", "gc", "len", "rep"))
     left, found = kept, None
     for trial in range(max_trials):
-        places = random_intervals(left.select("id", "len"), sizes, seed + 17 * trial)
-        f = features(places, genome, masks)
+        places = saved(random_intervals(left.select("id", "len"), sizes, seed + 17 * trial))
+        f = saved(features(places, genome, masks))
         m = greedy_match(left, f, gc_tol, length_tol, repeat_tol)
-        part = m.join(places.select(F.col("id").alias("candidate_id"), "chrom", "start", "end", "strand"), "candidate_id").join(f.select(F.col("id").alias("candidate_id"), "seq", "gc", "rep"), "candidate_id").drop("candidate_id").persist()
+        drawn = places.select(F.col("id").alias("candidate_id"), "chrom", "start", "end", "strand")
+        described = f.select(F.col("id").alias("candidate_id"), "seq", "gc", "rep")
+        part = saved(m.join(drawn, "candidate_id").join(described, "candidate_id").drop("candidate_id"))
         found = part if found is None else found.unionByName(part)
-        left = left.join(part.select(F.col("target_id").alias("id")), "id", "left_anti").persist()
+        left = saved(left.join(part.select(F.col("target_id").alias("id")), "id", "left_anti"))
         if left.isEmpty():
             break
     if found is None:

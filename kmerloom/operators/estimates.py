@@ -76,14 +76,17 @@ def basis_counts(bags: DataFrame, L: int, K: int) -> DataFrame:
     """
     from itertools import combinations
 
-    step = lambda d, j: F.when(d < j, 1).when(d == j, -j).otherwise(0)
+    def at_place(terms: Column, i: int) -> Column:
+        d = F.translate(F.substring("u", i + 1, 1), "ACGT", "0123").cast("int")
+        step = {j: F.when(d < j, 1).when(d == j, -j).otherwise(0) for j in (1, 2, 3)}
+        return F.flatten(F.transform(terms, lambda t: F.array(*(F.struct(t["p"].alias("p"), F.concat(t["v"], F.lit(str(j))).alias("v"), (t["x"] * step[j]).alias("x")) for j in (1, 2, 3)))))
+
     out = None
-    digit = lambda i: F.translate(F.substring("u", i + 1, 1), "ACGT", "0123").cast("int")
     for size in range(K + 1):
         for places in combinations(range(L), size):
             terms = F.array(F.struct(F.lit(",".join(map(str, places))).alias("p"), F.lit("").alias("v"), F.lit(1).alias("x")))
             for i in places:
-                terms = F.flatten(F.transform(terms, lambda t, i=i: F.array(*(F.struct(t["p"].alias("p"), F.concat(t["v"], F.lit(str(j))).alias("v"), (t["x"] * step(digit(i), j)).alias("x")) for j in (1, 2, 3)))))
+                terms = at_place(terms, i)
             out = terms if out is None else F.concat(out, terms)
     rows = bags.select("n", F.explode(out).alias("t")).where("t.x <> 0")
     return rows.groupBy("t.p", "t.v").agg(F.sum(F.col("n") * F.col("t.x")).alias("n"))

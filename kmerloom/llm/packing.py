@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import arrow_map, only, running_sum, saved, slices, to_batch
-from .subwords import TOKENIZER, Encoder
+from .subwords import TOKENIZER, shared_encoder
 
 LENGTH = 1024
 UNIT = 4
@@ -32,7 +32,7 @@ _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def _cut(size: int, unit: int, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = shared_encoder(path)
         end = np.array([END], "<u4").tobytes()
         for b in slices(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]

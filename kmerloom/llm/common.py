@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE = 1 << 20
+#: Rows of ids up to which a table may be broadcast (some 16 MB); a larger one is shuffled.
+BROADCAST_ROWS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: Odd, so that it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -67,6 +69,11 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a saved table of ids, marked for broadcast where a count shows that it has at most `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of df: the file size for a scan, without a job.
 

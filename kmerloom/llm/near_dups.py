@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_map, mix, only, saved, slices, sums_by, to_batch
+from .common import U64, Words, arrow_map, if_small, mix, only, saved, slices, sums_by, to_batch
 from .components import components
 
 SHINGLE = 5
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
     groups = components(keys.join(first, "key").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = saved(groups.join(sizes, "label").select(F.col("node").alias("doc_id"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
-    sets = arrow_map(d.join(members.select("doc_id"), "doc_id"), _sets(counts), _SETS)
+    sets = arrow_map(d.join(if_small(members.select("doc_id")), "doc_id"), _sets(counts), _SETS)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = members.select("doc_id", "label", "block", other.alias("other")).select("doc_id", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     links = sets.join(pairs, "doc_id").groupBy("label", "i", "j").applyInArrow(_compare(num, den), _EDGE)
@@ -251,8 +251,8 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Of rows that share an id, one stays.
     """
     classes = saved(near_duplicates(docs, **options))
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = saved(classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+    kept = docs.join(if_small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
     if classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     known = kept.where(kept["doc_id"].isNotNull()).dropDuplicates(["doc_id"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Rows of ids up to which a table may be broadcast (some 16 MB); a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"

@@ -22,7 +22,7 @@ import numpy as np
 #: The tokenizer file of the queries, by its name in public_tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces a worker remembers at most, twice over, and the longest of them.
-CACHE = 400_000
+CACHE = 250_000
 LONG = 64
 _TWO = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<!\s) (?!\s)")

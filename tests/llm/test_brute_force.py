@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kmerloom.llm import exchange, langid, licences, lm, mixing, near_dups, packing, quality, queries, search, subwords, substrings, toxicity
+from kmerloom.llm import common, exchange, langid, licences, lm, mixing, near_dups, packing, quality, queries, search, subwords, substrings, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -317,6 +317,36 @@ def test_training_lowers_the_loss():
     assert after > 0.7 * before
 
 
+def test_language_model_counts_all_training_ids(spark, sf, docs):
+    enc = subwords.shared_encoder()
+    n_ids, end = lm.id_range()
+    d = spark.createDataFrame([(i, docs[i].text) for i in docs], "doc_id long, text string")
+    want, texts = np.zeros(n_ids, np.int64), [x for i, x in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    for x in enc.ids([x.text or "" for x in texts if x.text is not None]):
+        np.add.at(want, np.append(np.frombuffer(x, "<u4"), end), 1)
+    part, _, bits = exchange.dealt(d.withColumn("held_out", common.crc_mod("doc_id", 7) == 2), doc_id="bigint", text="string", held_out="boolean")
+    sent = part.groupBy("chunk").applyInArrow(lm._send(bits, n_ids, end, subwords.TOKENIZER), lm._SENT)
+    got = lm.id_counts(sent, n_ids)
+    assert (got == want).all()
+    # ids that the network's few rows lack keep their counts, and the rows that teach grow with the share
+    few = lm.fit(d, got, end, train_rows=2, share=0.0)
+    c = want + 0.1
+    c[end] += 1
+    assert few.within == pytest.approx(np.log(c / np.bincount(few.cls, c)[few.cls]), abs=1e-4)
+
+
+def test_training_rows_grow_with_the_corpus(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(lm, "_learn", lambda net, grown, texts, n_ids, end, steps, rng: taught.append((len(texts), steps)))
+    n_ids, end = lm.id_range()
+    sums = []
+    for n in (1_000, 5_000):
+        taught.clear()
+        lm.fit(spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text"), np.ones(n_ids, np.int64), end, train_rows=50, share=0.1)
+        sums.append(np.sum(taught, 0))
+    assert (sums[1] > 3 * sums[0]).all() and (sums[1] < 8 * sums[0]).all()
+
+
 def test_mixing_targets(spark):
     rows = [(i, "w " * (1 + i % 7), f"s{i % 3}" if i % 11 else None) for i in range(3000)] + [(9999, "w " * 50, "tiny")]
     r = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import U64, Words, arrow_map, crc_mod, mix, only, ship, slices, sums_by, to_batch
 
-#: Labelled rows that teach, at most (about): a hash of the id picks them.
-TRAIN_ROWS = 6_000
+#: Labelled rows that teach, at most (about): toxic ones first, up to TOXIC_ROWS, then clean ones; a hash of the id picks them.
+TRAIN_ROWS = 12_000
+TOXIC_ROWS = 4_000
 BITS = 18
 #: Bytes of the prefixes that count beside the whole word; a shorter word has none (bin 1 << BITS, without weight).
 PREFIXES = (5, 6, 7)
@@ -82,20 +83,27 @@ def telling(df: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (ratio > 0) & (g > 2 * np.log(tested)), ratio
 
 
-def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.5, l1: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights per bin and the offset, from (label, bins, sentence starts) of documents."""
+def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.5, l1: float = 2e-5, weigh: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, float]:
+    """Weights per bin and the offset, from (label, bins, sentence starts) of documents; `weigh` is what a document of each class counts in the loss."""
     size = (1 << BITS) + 1
     bags = [b for b in bags if len(b[1])]
     w, bias = np.zeros(size), -6.0
     if not any(b[0] for b in bags) or all(b[0] for b in bags):
         return w.astype(np.float32), bias
     df, n = np.zeros((2, size)), np.zeros(2)
-    seen_before: set[tuple[int, bytes]] = set()
-    for y, bins, _ in bags:  # a text counts once a class: copies of a document are no new evidence
-        if (y, key := bins.tobytes()) not in seen_before:
-            seen_before.add((y, key))
-            df[y, np.unique(bins)] += 1
-            n[y] += 1
+    # a text most of whose sentences its class had before is a near copy: only its new sentences are evidence
+    keys = [np.add.reduceat(mix(bins.astype(U64) + U64(1)), opens) for _, bins, opens in bags]
+    fresh = np.zeros(sum(map(len, keys)), bool)
+    home = np.repeat([b[0] for b in bags], [len(k) for k in keys])
+    for y in (0, 1):
+        own = np.flatnonzero(home == y)
+        fresh[own[np.unique(np.concatenate(keys)[own], return_index=True)[1]]] = True
+    at = 0
+    for y, bins, opens in bags:
+        new = fresh[at : at + len(opens)]
+        at += len(opens)
+        df[y, np.unique(bins if 2 * new.sum() >= len(new) else bins[np.repeat(new, np.diff(np.append(opens, len(bins))))])] += 1
+        n[y] += new.any()
     n = np.maximum(n, 1)
     usable, ratio = telling(df, n)
     usable[-1] = False
@@ -117,7 +125,7 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             doc = noisy_or(p, at)
             # d loss / d z: p for a clean document, -p (1-P)/P for a toxic one
-            g = p * np.repeat(np.where(y == 1, -(1 - doc) / np.maximum(doc, 1e-9), 1.0), np.diff(at))
+            g = p * np.repeat(np.where(y == 1, -weigh[1] * (1 - doc) / np.maximum(doc, 1e-9), weigh[0]), np.diff(at))
             per_word = np.repeat(g, np.diff(np.append(opens, len(bins))))
             gw = np.bincount(bins, per_word, minlength=size) * (usable & seen) / len(part) ** 0.5
             touched = np.flatnonzero(gw)
@@ -131,16 +139,22 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS,
     return w.astype(np.float32), float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """The model, from labelled rows whose crc32(doc_id as text) mod 5 isn't 0."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, toxic_rows: int = TOXIC_ROWS) -> tuple[np.ndarray, float]:
+    """The model, from labelled rows whose crc32(doc_id as text) mod 5 isn't 0. Classes weigh in the loss what they have of all those rows."""
     known = only(labels, doc_id="bigint", toxic="int").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_mod("doc_id", 5) > 0)
-    n = known.count()
-    part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_rows / max(n, 1))))
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    toxic = min(sizes.get(1, 0), toxic_rows)
+    share = [min(1.0, k / max(sizes.get(y, 0), 1)) for y, k in enumerate((train_rows - toxic, toxic))]
+    limit = F.when(F.col("toxic") == 1, int((1 << 30) * share[1])).otherwise(int((1 << 30) * share[0]))
+    part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
     # part has about train_rows ids at most, whatever the input: it may be broadcast
     rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(part), "doc_id").select("toxic", "text")
-    rows = arrow_map(rows, _bags, _BAGS).toPandas()
-    found = sorted(zip(rows["toxic"], rows["bins"], rows["breaks"], strict=True))
-    return train([(int(y), np.frombuffer(b, np.uint32), np.frombuffer(s, np.uint32)) for y, b, s in found])
+    # a part at a time, so that the JVM of the driver never holds them all
+    rows = arrow_map(rows, _bags, _BAGS).repartition(16).toLocalIterator()
+    found = sorted((int(r["toxic"]), bytes(r["bins"]), bytes(r["breaks"])) for r in rows)
+    taught, whole = [sizes.get(y, 0) * share[y] for y in (0, 1)], max(sum(sizes.values()), 1)
+    weigh = tuple(sizes.get(y, 0) / whole * sum(taught) / max(taught[y], 1e-9) for y in (0, 1))
+    return train([(y, np.frombuffer(b, np.uint32), np.frombuffer(s, np.uint32)) for y, b, s in found], weigh=weigh)
 
 
 def _judge(col: pa.Array, model: tuple[np.ndarray, float]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:

@@ -50,17 +50,25 @@ def greedy_match(targets: DataFrame, candidates: DataFrame, gc_tol: float = 0.02
 def random_intervals(wanted: DataFrame, chrom_sizes: DataFrame, seed: int, tries: int = 8) -> DataFrame:
     """wanted(id, len) -> id, chrom, start, end, strand at uniform places of the genome.
 
-    Each id draws up to `tries` places; the first whose interval lies in one
-    chromosome counts, ids without one are dropped (the caller draws again).
+    Each id draws until its interval lies in one chromosome: `tries` places,
+    then, for the ids still without one, four times as many, and so on. Only ids
+    longer than every chromosome are dropped.
     """
-    total = chrom_sizes.agg(F.sum("length")).first()[0] or 0
-    draw = F.pmod(F.xxhash64("id", "try", F.lit(seed)), F.lit(max(total, 1))) + 1
-    d = wanted.select("id", "len", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("try")).withColumn("pos", draw)
     sizes = chrom_sizes.select("chrom", F.col("length").alias("chrom_length"))
-    at = I.locate(d, chrom_sizes).join(sizes, "chrom").where("offset + len - 1 <= chrom_length")
-    one = at.groupBy("id").agg(F.min_by(F.struct("chrom", "offset", "len"), "try").alias("x"))
+    whole = chrom_sizes.agg(F.sum("length"), F.max("length")).first()
+    left, found, first = wanted.select("id", "len").where(F.col("len") <= (whole[1] or 0)), None, 1
     strand = F.when(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(2)) == 0, "+").otherwise("-")
-    return one.select("id", "x.chrom", F.col("x.offset").alias("start"), (F.col("x.offset") + F.col("x.len") - 1).alias("end"), strand.alias("strand"))
+    while True:
+        draw = F.pmod(F.xxhash64("id", "try", F.lit(seed)), F.lit(max(whole[0] or 0, 1))) + 1
+        d = left.select("id", "len", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))).alias("try")).withColumn("pos", draw)
+        at = I.locate(d, chrom_sizes).join(sizes, "chrom").where("offset + len - 1 <= chrom_length")
+        one = at.groupBy("id").agg(F.min_by(F.struct("chrom", "offset", "len"), "try").alias("x"))
+        part = saved(one.select("id", "x.chrom", F.col("x.offset").alias("start"), (F.col("x.offset") + F.col("x.len") - 1).alias("end"), strand.alias("strand")))
+        found = part if found is None else found.unionByName(part)
+        left = saved(left.join(part.select("id"), "id", "left_anti"))
+        if left.isEmpty():
+            return found
+        first, tries = first + tries, 4 * tries
 
 
 def features(intervals: DataFrame, genome: DataFrame, masks: DataFrame) -> DataFrame:
@@ -69,11 +77,12 @@ def features(intervals: DataFrame, genome: DataFrame, masks: DataFrame) -> DataF
     return s.join(I.covered_fraction(intervals, masks).select("id", F.col("fraction").alias("rep")), "id")
 
 
-def null_sequences(positives: DataFrame, genome: DataFrame, masks: DataFrame, xfold: float = 1.0, gc_tol: float = 0.02, length_tol: float = 0.02, repeat_tol: float = 0.02, max_trials: int = 20, seed: int = 1) -> DataFrame:
+def null_sequences(positives: DataFrame, genome: DataFrame, masks: DataFrame, xfold: float = 1.0, gc_tol: float = 0.02, length_tol: float = 0.02, repeat_tol: float = 0.02, max_trials: int = 20, seed: int = 1, batch: int = 5_000) -> DataFrame:
     """positives(id, chrom, start, end, strand) -> a matched random interval each, xfold times: target_id, chrom, start, end, strand, seq, gc, rep.
 
     Trials go on while targets lack a match, at most max_trials; those left are
-    absent. Half-even rounding of n * xfold.
+    absent. Each trial draws `batch` intervals or more, of the lengths of the
+    targets left in turn. Half-even rounding of n * xfold.
     """
     spark = positives.sparkSession
     sizes = saved(genome.select(F.dense_rank().over(_by("chrom")).alias("ord"), "chrom", F.length("seq").alias("length")))
@@ -86,7 +95,9 @@ def null_sequences(positives: DataFrame, genome: DataFrame, masks: DataFrame, xf
     kept = saved(many.orderBy("c", F.xxhash64("target", F.lit(seed))).limit(copies).select("id", "target", "gc", "len", "rep"))
     left, found = kept, None
     for trial in range(max_trials):
-        places = saved(random_intervals(left.select("id", "len"), sizes, seed + 17 * trial))
+        each = -(-batch // max(left.count(), 1))
+        wanted = left.select("id", "len", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("c"))
+        places = saved(random_intervals(wanted.select(F.xxhash64("id", "c").alias("id"), "len"), sizes, seed + 17 * trial))
         f = saved(features(places, genome, masks))
         m = greedy_match(left, f, gc_tol, length_tol, repeat_tol)
         drawn = places.select(F.col("id").alias("candidate_id"), "chrom", "start", "end", "strand")

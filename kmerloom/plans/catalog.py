@@ -345,4 +345,4 @@ def null_sequences(spark, sf_dir):
     genome = item_seqs(spark, sf_dir).select(F.col("seq_id").cast("string").alias("chrom"), "seq")
     pos = item_seqs(spark, sf_dir).where(F.length("seq") >= 20).select(F.col("seq_id").alias("id"), F.col("seq_id").cast("string").alias("chrom"), F.lit(1).cast("bigint").alias("start"), F.lit(20).cast("bigint").alias("end"), F.lit("+").alias("strand"))
     masks = pos.select("chrom", F.lit(5).cast("bigint").alias("start"), F.lit(6).cast("bigint").alias("end"))
-    return background.null_sequences(pos, genome, masks, gc_tol=0.1, repeat_tol=0.2, max_trials=3)
+    return background.null_sequences(pos, genome, masks)

@@ -4,7 +4,7 @@ The automaton holds the word sequences of all templates. A file's words are
 streamed through it and give matching statistics: at each word the longest
 suffix read so far that is a factor of a template. Maximal long matches of one
 template are chained (in order in both, with short gaps); the chain's covered
-share of the template is its score. Words that cannot be inside a long match
+share of the template is its score, each disjoint chain of SHARE a span. Words that cannot be inside a long match
 (their neighbours form no pair that occurs in a template) are skipped by a
 vectorised test that loses no match of LEAST words.
 """
@@ -12,6 +12,7 @@ vectorised test that loses no match of LEAST words.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,6 +121,12 @@ class Automaton:
             yield v, n
 
 
+def _touches(spans: list[tuple[int, int]], first: int, last: int) -> bool:
+    """Whether first..last meets one of the sorted, disjoint spans."""
+    i = bisect_right(spans, (last, 1 << 62))
+    return i > 0 and spans[i - 1][1] >= first
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES):
         self.label, self.sizes, seqs = [], [], []
@@ -150,25 +157,43 @@ class Scanner:
                     found.setdefault(t, []).append((at + i - n + 1, end - n + 1, n))
 
     def best(self, found: dict[int, list[tuple[int, int, int]]]) -> list[tuple[float, int, int, int]]:
-        """Per template the best chain: covered share, template, first and last word in the file."""
+        """Per template the best chain, and every other one of SHARE that shares no word of the file with one taken: covered share, template, first and last word in the file."""
         out = []
         for t, ms in found.items():
             ms.sort()
-            gain: list[tuple[int, int]] = []
-            for j, (f, p, n) in enumerate(ms):
-                top = (n, f)
-                for i in range(j - 1, -1, -1):
-                    f0, p0, n0 = ms[i]
-                    if f - (f0 + n0) > GAP_WORDS + 200:
+            taken: list[tuple[int, int]] = []
+            while ms:
+                more = []
+                for n, f, e in self._tops(ms):
+                    good = n / self.sizes[t] >= SHARE
+                    if (good or not taken and not more) and not _touches(more, f, e):
+                        insort(more, (f, e))
+                        out.append((min(1.0, n / self.sizes[t]), t, f, e))
+                    if not good:
                         break
-                    over = max(0, f0 + n0 - f, p0 + n0 - p)
-                    if f > f0 and p > p0 and f - (f0 + n0) <= GAP_WORDS and over < n and gain[i][0] + n - over > top[0]:
-                        top = (gain[i][0] + n - over, gain[i][1])
-                gain.append(top)
-            j = max(range(len(ms)), key=lambda j: (gain[j][0], -j))
-            out.append((min(1.0, gain[j][0] / self.sizes[t]), t, gain[j][1], ms[j][0] + ms[j][2] - 1))
+                taken += more
+                ms = [m for m in ms if not _touches(more, m[0], m[0] + m[2] - 1)] if more else []
         return out
 
+    def _tops(self, ms: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """The best chain from each match that opens chains: covered words, first and last word; the best first."""
+        gain: list[tuple[int, int]] = []  # covered words, and the match that opens the chain
+        for j, (f, p, n) in enumerate(ms):
+            top = (n, j)
+            for i in range(j - 1, -1, -1):
+                f0, p0, n0 = ms[i]
+                if f - (f0 + n0) > GAP_WORDS + 200:
+                    break
+                over = max(0, f0 + n0 - f, p0 + n0 - p)
+                if f > f0 and p > p0 and f - (f0 + n0) <= GAP_WORDS and over < n and gain[i][0] + n - over > top[0]:
+                    top = (gain[i][0] + n - over, gain[i][1])
+            gain.append(top)
+        last: dict[int, int] = {}
+        for j, (n, k) in enumerate(gain):
+            if k not in last or n > gain[last[k]][0]:
+                last[k] = j
+        return [(gain[j][0], ms[k][0], ms[j][0] + ms[j][2] - 1) for k, j in sorted(last.items(), key=lambda x: (-gain[x[1]][0], x[1]))]
+
     def scan(self, b: pa.RecordBatch) -> pa.RecordBatch:
         w = Words(b.column("text"), lower=True, gap=_GAPS)
         n = len(w.count)

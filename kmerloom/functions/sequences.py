@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DNA = "ACGT"
-_PAIR_MASK = 0x5555555555555555
+PAIR_MASK = 0x5555555555555555
 
 
 def check_alphabet(alphabet: str) -> str:
@@ -41,6 +41,11 @@ def unpack(code: Column, length: int, alphabet: str = DNA) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), length, "0"), "0123"[: len(alphabet)], alphabet)
 
 
+def nth_word(n: Column, b: int = 4) -> Column:
+    """The packed form of the n-th word of an alphabet of b letters, in order."""
+    return F.conv(F.conv(n.cast("string"), 10, b), 4, 10).cast("bigint")
+
+
 def reverse_complement_code(code: Column, length: int, alphabet: str = DNA) -> Column:
     return pack(reverse_complement(unpack(code, length, alphabet), alphabet), alphabet)
 
@@ -48,7 +53,7 @@ def reverse_complement_code(code: Column, length: int, alphabet: str = DNA) -> C
 def hamming(a: Column, b: Column) -> Column:
     """Letters that differ between two packed words of one length."""
     x = a.bitwiseXOR(b)
-    return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(_PAIR_MASK)))
+    return F.bit_count(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(PAIR_MASK)))
 
 
 def subsequence(seq: Column, start: int, length: int) -> Column:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions.sequences import gc_content
-
 from kmerloom.plans.lineage import saved
+from kmerloom.plans.ranks import hashed_order, running_sums
 
 from . import intervals as I
 
@@ -47,6 +47,12 @@ def greedy_match(targets: DataFrame, candidates: DataFrame, gc_tol: float = 0.02
     return side(targets, 1).unionByName(side(candidates, 0)).groupBy(*keys).applyInPandas(assign, _MATCH)
 
 
+def _draw(seed: int, below: Column, *of: str) -> Column:
+    """A number from 0 to below - 1 by the md5 of the seed and the columns, the same in any engine."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in of)).cast("binary"))
+    return F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint"), below)
+
+
 def random_intervals(wanted: DataFrame, chrom_sizes: DataFrame, seed: int, tries: int = 8) -> DataFrame:
     """wanted(id, len) -> id, chrom, start, end, strand at uniform places of the genome.
 
@@ -57,9 +63,9 @@ def random_intervals(wanted: DataFrame, chrom_sizes: DataFrame, seed: int, tries
     sizes = chrom_sizes.select("chrom", F.col("length").alias("chrom_length"))
     whole = chrom_sizes.agg(F.sum("length"), F.max("length")).first()
     left, found, first = wanted.select("id", "len").where(F.col("len") <= (whole[1] or 0)), None, 1
-    strand = F.when(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(2)) == 0, "+").otherwise("-")
+    strand = F.when(_draw(seed, F.lit(2), "id") == 0, "+").otherwise("-")
     while True:
-        draw = F.pmod(F.xxhash64("id", "try", F.lit(seed)), F.lit(max(whole[0] or 0, 1))) + 1
+        draw = _draw(seed, F.lit(max(whole[0] or 0, 1)), "id", "try") + 1
         d = left.select("id", "len", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))).alias("try")).withColumn("pos", draw)
         at = I.locate(d, chrom_sizes).join(sizes, "chrom").where("offset + len - 1 <= chrom_length")
         one = at.groupBy("id").agg(F.min_by(F.struct("chrom", "offset", "len"), "try").alias("x"))
@@ -77,6 +83,23 @@ def features(intervals: DataFrame, genome: DataFrame, masks: DataFrame) -> DataF
     return s.join(I.covered_fraction(intervals, masks).select("id", F.col("fraction").alias("rep")), "id")
 
 
+def replicas(targets: DataFrame, xfold: float, seed: int = 1) -> DataFrame:
+    """targets(id, ...) -> id of the copy, target, ...: round(n * xfold) rows (half-even), each target as often as any other, but for one."""
+    n = targets.count()
+    copies = round(n * xfold)
+    times = -(-copies // max(n, 1))
+    many = targets.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(times - 1, 0)))))
+    many = many.withColumn("target", F.col("id")).withColumn("id", F.xxhash64("id", "c"))
+    # whole rounds stay; of the last one the first by a seeded order
+    rest = copies - n * (times - 1) if copies else 0
+    if rest == n:
+        return many.drop("c")
+    slot, order = hashed_order("target", f"{seed}:")
+    last = many.where(F.col("c") == times - 1).withColumn("_slot", slot).withColumn("_order", order).withColumn("_one", F.lit(1))
+    last = running_sums(last, "_slot", [F.col("_order")], {"_place": "_one"}).where(F.col("_place") < rest)
+    return many.where(F.col("c") < times - 1).unionByName(last.select(*many.columns)).drop("c")
+
+
 def null_sequences(positives: DataFrame, genome: DataFrame, masks: DataFrame, xfold: float = 1.0, gc_tol: float = 0.02, length_tol: float = 0.02, repeat_tol: float = 0.02, max_trials: int = 20, seed: int = 1, batch: int = 5_000) -> DataFrame:
     """positives(id, chrom, start, end, strand) -> a matched random interval each, xfold times: target_id, chrom, start, end, strand, seq, gc, rep.
 
@@ -85,14 +108,10 @@ def null_sequences(positives: DataFrame, genome: DataFrame, masks: DataFrame, xf
     targets left in turn. Half-even rounding of n * xfold.
     """
     spark = positives.sparkSession
-    sizes = saved(genome.select(F.dense_rank().over(_by("chrom")).alias("ord"), "chrom", F.length("seq").alias("length")))
+    genome = genome if "tile" in genome.columns else saved(I.tiles(genome))
+    sizes = saved(I.sizes_of(genome).select(F.dense_rank().over(_by("chrom")).alias("ord"), "chrom", "length"))
     t = saved(features(positives, genome, masks).select("id", "gc", "len", "rep"))
-    n = t.count()
-    copies = round(n * xfold)
-    times = -(-copies // max(n, 1))
-    many = t.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(times - 1, 0)))))
-    many = many.withColumn("target", F.col("id")).withColumn("id", F.xxhash64("id", "c"))
-    kept = saved(many.orderBy("c", F.xxhash64("target", F.lit(seed))).limit(copies).select("id", "target", "gc", "len", "rep"))
+    kept = saved(replicas(t, xfold, seed).select("id", "target", "gc", "len", "rep"))
     left, found = kept, None
     for trial in range(max_trials):
         each = -(-batch // max(left.count(), 1))

@@ -34,31 +34,61 @@ def bad_intervals(a: DataFrame, chrom_sizes: DataFrame) -> DataFrame:
     return known.where("_length is null or end > _length or start < 1").drop("_length")
 
 
-#: Chromosomes beyond which their table isn't broadcast.
-MOST_CHROMS = 100_000
-
-
-def locate(positions: DataFrame, chrom_sizes: DataFrame) -> DataFrame:
+def locate(positions: DataFrame, chrom_sizes: DataFrame, bin_size: int | None = None) -> DataFrame:
     """positions(pos: 1-based place in the concatenated genome) -> with chrom and offset (1-based); places beyond the end are dropped.
 
-    chrom_sizes(ord, chrom, length). A genome has tens to thousands of
-    chromosomes; their number is checked, and more are refused.
+    chrom_sizes(ord, chrom, length). An equi-join on bins of the concatenated
+    genome: a chromosome goes to the bins it touches. The bin is by default the
+    mean length, which makes at most two rows a chromosome and bin.
     """
-    from pyspark.sql import Window as W
+    from kmerloom.plans.ranks import by_quantile, running_sums
+
+    whole = chrom_sizes.agg(F.sum("length"), F.count("*")).first()
+    size = bin_size or max(1, -(-int(whole[0] or 0) // max(whole[1], 1)))
+    c = by_quantile(chrom_sizes.select("ord", "chrom", "length").withColumn("_all", F.lit(0)), "ord", "_all", 64)
+    c = running_sums(c, "_slot", [F.col("ord")], {"before": "length"}).where("length > 0")
+    bins = F.explode(F.sequence(F.floor(F.col("before") / size), F.floor((F.col("before") + F.col("length") - 1) / size)))
+    c = c.select("chrom", "length", "before", bins.alias("_bin"))
+    p = positions.withColumn("_bin", F.floor((F.col("pos") - 1) / size))
+    j = p.join(c, "_bin").where((F.col("pos") > F.col("before")) & (F.col("pos") <= F.col("before") + F.col("length")))
+    return j.withColumn("offset", F.col("pos") - F.col("before")).drop("before", "length", "_bin")
+
+
+TILE = 1 << 16
 
-    n = chrom_sizes.count()
-    if n > MOST_CHROMS:
-        raise ValueError(f"{n} chromosomes: at most {MOST_CHROMS} are supported")
-    before = F.coalesce(F.sum("length").over(W.orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    c = chrom_sizes.select("chrom", "length", before.alias("before"))
-    j = positions.join(F.broadcast(c), (F.col("pos") > F.col("before")) & (F.col("pos") <= F.col("before") + F.col("length")))
-    return j.withColumn("offset", F.col("pos") - F.col("before")).drop("before", "length")
 
+def tiles(genome: DataFrame, size: int = TILE) -> DataFrame:
+    """genome(chrom, seq) -> chrom, tile, seq: the chromosomes in pieces of `size` letters, tile 0 first. One pass over each sequence."""
+    cut = F.regexp_extract_all(F.col("seq"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return genome.select("chrom", F.posexplode(cut).alias("tile", "seq"))
 
-def fetch(intervals: DataFrame, genome: DataFrame) -> DataFrame:
-    """intervals(chrom, start, end, strand) with seq from genome(chrom, seq); the reverse complement on strand '-'."""
+
+def sizes_of(tiled: DataFrame) -> DataFrame:
+    """chrom, length of a tiled genome."""
+    return tiled.groupBy("chrom").agg(F.sum(F.length("seq").cast("bigint")).alias("length"))
+
+
+def fetch(intervals: DataFrame, genome: DataFrame, size: int = TILE) -> DataFrame:
+    """intervals(chrom, start, end, strand) with seq from genome(chrom, seq), or from its tiles of `size` (chrom, tile, seq).
+
+    The reverse complement on strand '-'. An interval meets the tiles it
+    touches, by (chrom, tile), and its pieces are joined in order; no chromosome
+    travels whole. What lies beyond a chromosome's end is left out; an interval
+    on no chromosome is dropped, one without a letter has an empty seq.
+    """
     from kmerloom.functions.sequences import reverse_complement
 
-    j = intervals.join(genome.select("chrom", F.upper("seq").alias("_seq")), "chrom")
-    s = F.substring(F.col("_seq"), F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
-    return j.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(s)).otherwise(s)).drop("_seq")
+    tiled = genome if "tile" in genome.columns else tiles(genome, size)
+    known = intervals.join(tiled.select("chrom").distinct(), "chrom", "left_semi")
+    known = known.groupBy(F.struct(*intervals.columns).alias("_row")).agg(F.count("*").cast("int").alias("_n")).select("_row", "_n", "_row.*")
+    first, last = F.floor((F.greatest(F.col("start"), F.lit(1)) - 1) / size), F.floor((F.col("end") - 1) / size)
+    asked = known.select("_row", "_n", "chrom", F.greatest("start", F.lit(1)).alias("_from"), F.col("end").alias("_to"), F.explode(F.sequence(first, F.greatest(first, last))).alias("tile"))
+    own = tiled.select("chrom", F.col("tile").cast("bigint").alias("tile"), F.upper("seq").alias("_seq"))
+    j = asked.join(own, ["chrom", "tile"], "left")
+    lo = F.greatest(F.col("_from") - F.col("tile") * size, F.lit(1)).cast("int")
+    hi = F.least(F.col("_to") - F.col("tile") * size, F.lit(size)).cast("int")
+    piece = F.coalesce(F.substring(F.col("_seq"), lo, F.greatest(hi - lo + 1, F.lit(0))), F.lit(""))
+    found = j.groupBy("_row", "_n").agg(F.array_sort(F.collect_list(F.struct("tile", piece.alias("s")))).alias("_p"))
+    s = F.array_join(F.transform("_p", lambda x: x["s"]), "")
+    found = found.select("_row.*", s.alias("_s"), F.explode(F.sequence(F.lit(1), "_n"))).drop("col")
+    return found.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(F.col("_s"))).otherwise(F.col("_s"))).drop("_s")

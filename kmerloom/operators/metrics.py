@@ -1,23 +1,15 @@
-"""Ranking metrics by group: ROC and precision-recall, with ties."""
+"""Ranking metrics by group: ROC and precision-recall, with ties.
+
+Rows are counted per distinct score first; running counts over the scores of a
+group go through slots of its quantiles, so no task holds a whole group.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-
-def auroc(scored: DataFrame, group: str = "fold") -> DataFrame:
-    """(group, score, label 0/1) -> group, auroc: the rank sum with average ranks; null without both classes.
-
-    Counted per distinct score first, so the window holds the cutoffs of a
-    group, not its rows.
-    """
-    c = _cutoffs(scored, group)
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(group).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    won = c.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-    p, n = F.sum("pos"), F.sum("neg")
-    return won.groupBy(group).agg(F.when((p > 0) & (n > 0), F.sum("won") / (p * n)).alias("auroc"))
+from kmerloom.plans.ranks import by_quantile, running_sums
 
 
 def _cutoffs(scored: DataFrame, group: str) -> DataFrame:
@@ -25,21 +17,35 @@ def _cutoffs(scored: DataFrame, group: str) -> DataFrame:
     return scored.where("score is not null and label is not null").groupBy(group, "score").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
+def _running(scored: DataFrame, group: str) -> DataFrame:
+    """group, score, pos, neg at each distinct score; pos_above, neg_above: those of higher scores."""
+    c = by_quantile(_cutoffs(scored, group), "score", group).withColumn("_slot", -F.col("_slot"))
+    return running_sums(c, "_slot", [F.col("score").desc()], {"pos_above": "pos", "neg_above": "neg"}, [group]).drop("_slot")
+
+
+def auroc(scored: DataFrame, group: str = "fold") -> DataFrame:
+    """(group, score, label 0/1) -> group, auroc: the rank sum with average ranks; null without both classes."""
+    p, n = F.sum("pos"), F.sum("neg")
+    # a negative loses against the positives above it and draws with those of its score
+    won = F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2))
+    return _running(scored, group).groupBy(group).agg(F.when((p > 0) & (n > 0), won / (p * n)).alias("auroc"))
+
+
 def curve(scored: DataFrame, group: str = "fold") -> DataFrame:
     """group, score, tpr, fpr, precision at each distinct cutoff (score or higher is positive)."""
-    c = _cutoffs(scored, group)
-    down = W.partitionBy(group).orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, 0)
-    full = W.partitionBy(group)
-    c = c.select(group, "score", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(full).alias("p"), F.sum("neg").over(full).alias("n"))
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    return c.select(group, "score", share("tp", "p").alias("tpr"), share("fp", "n").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    c = _running(scored, group)
+    totals = c.groupBy(group).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).withColumnRenamed(group, "_g")
+    c = c.join(totals, F.col(group).eqNullSafe(F.col("_g")))
+    tp, fp = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
+    share = lambda a, b: F.when(F.col(b) > 0, a / F.col(b))
+    return c.select(group, "score", share(tp, "p").alias("tpr"), share(fp, "n").alias("fpr"), (tp / (tp + fp)).alias("precision"))
 
 
 def auprc(scored: DataFrame, group: str = "fold") -> DataFrame:
     """group, auprc: the sum over cutoffs of the recall gained times the precision there; null without positives."""
-    c = curve(scored, group)
-    gained = F.col("tpr") - F.coalesce(F.lag("tpr").over(W.partitionBy(group).orderBy(F.col("score").desc())), F.lit(0.0))
-    return c.select(group, (gained * F.col("precision")).alias("a")).groupBy(group).agg(F.sum("a").alias("auprc"))
+    tp, fp = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
+    area = F.sum(F.col("pos") * tp / (tp + fp))
+    return _running(scored, group).groupBy(group).agg(F.when(F.sum("pos") > 0, area / F.sum("pos")).alias("auprc"))
 
 
 def best_setting(table: DataFrame, by: str = "auroc", index: str = "idx") -> DataFrame:

@@ -7,23 +7,25 @@ equi-join of its words. Nothing is compared pairwise with the support sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.functions import sequences as S
 from kmerloom.functions.weights import Params
 
 from . import kernels, profiles, words
 
 
 def norms(bags: DataFrame, params: Params, key: str = "seq_id", all_distances: bool = True) -> DataFrame:
-    """key, norm: the root of the weighted self profile over all distances (or up to the maximum)."""
-    d = params.L if all_distances else params.max_distance
+    """key, norm: the root of the weighted self profile over all distances (or up to the maximum).
+
+    Distances beyond the last weight other than 0 add nothing, so no word is
+    spread to their masks.
+    """
+    d = params.reach if all_distances else min(params.max_distance, params.reach)
     p = profiles.self_profile(bags, params.L, d, key)
-    per = F.array(*(F.coalesce(F.sum(F.when(F.col("m") == m, F.col("cnt"))), F.lit(0)) for m in range(d + 1)))
-    value = F.lit(0.0)
-    for m, w in enumerate(params.weights()[: d + 1]):
-        value = value + F.col("c")[m] * F.lit(w)
-    return p.groupBy(key).agg(per.alias("c")).select(key, F.sqrt(value).alias("norm"))
+    value = kernels.weighted(F.col("c"), params.weights()[: d + 1])
+    return p.groupBy(key).agg(kernels.by_distance(d).alias("c")).select(key, F.sqrt(value).alias("norm"))
 
 
 def _bags(seqs: DataFrame, params: Params) -> DataFrame:
@@ -39,14 +41,14 @@ def support(alphas: DataFrame, seqs: DataFrame) -> DataFrame:
 def fold_model(alphas: DataFrame, seqs: DataFrame, params: Params, consistent_norm: bool = False) -> DataFrame:
     """u, w: the sum over support sequences of alpha / norm times the word's count."""
     bags = _bags(seqs, params)
-    weight = alphas.groupBy("seq_id").agg(F.sum("alpha").alias("alpha"))
+    weight = support(alphas, seqs.select("seq_id").distinct()).groupBy("seq_id").agg(F.sum("alpha").alias("alpha"))
     n = norms(bags, params, all_distances=params.b == 4 and not consistent_norm)
     return bags.join(weight, "seq_id").join(n, "seq_id").groupBy("u").agg(F.sum(F.col("n") * F.col("alpha") / F.col("norm")).alias("w"))
 
 
 def word_scores(model: DataFrame, params: Params) -> DataFrame:
     """u, score: what one occurrence of a word adds to the unnormalised score, for all words near the model."""
-    near = profiles.neighbourhood(model, params.L, params.max_distance, [], "w")
+    near = profiles.neighbourhood(model, params.L, min(params.max_distance, params.reach), [], "w", params.b)
     return near.groupBy("u").agg(F.sum(F.col("w") * kernels.weight_of(F.col("m"), params.weights())).alias("score"))
 
 
@@ -77,9 +79,15 @@ def delta(ref: DataFrame, alt: DataFrame, model: DataFrame, params: Params, on:
 
 
 def score_all_words(model: DataFrame, params: Params) -> DataFrame:
-    """Every one of the b^L words with its score, 0 where the model is far."""
-    spark = model.sparkSession
-    return spark.range(4**params.L).withColumnRenamed("id", "u").join(word_scores(model, params), "u", "left").fillna(0.0, ["score"])
+    """Every one of the b^L words (packed) with its score, 0 where the model is far."""
+    every = model.sparkSession.range(params.b**params.L).select(S.nth_word(F.col("id"), params.b).alias("u"))
+    return every.join(word_scores(model, params), "u", "left").fillna(0.0, ["score"])
+
+
+def score_word(bags: DataFrame, word: Column, params: Params, d: int | None = None) -> DataFrame:
+    """seq_id, score: the weighted matches of one packed word with each bag, at all distances or up to d."""
+    p = profiles.word_profile(bags, word, params.L, d)
+    return p.groupBy("seq_id").agg(kernels.by_distance(params.L).alias("c")).select("seq_id", kernels.weighted(F.col("c"), params.weights()).alias("score"))
 
 
 def kernel_scores(cross_kernel: DataFrame, alphas: DataFrame) -> DataFrame:

@@ -30,8 +30,12 @@ def words(df: DataFrame, L: int, both_strands: bool = True, alphabet: str = S.DN
 
 
 def bag(df: DataFrame, L: int, key: str = "seq_id", both_strands: bool = True, alphabet: str = S.DNA, seq: str = "seq") -> DataFrame:
-    """key, u, n: how often each word occurs. Sequences of one key are merged."""
-    return words(df.select(key, seq), L, both_strands, alphabet, seq).groupBy(key, "u").agg(F.count("*").alias("n"))
+    """key, u, n: how often each word occurs. Sequences of one key are merged.
+
+    The sequences are dealt by key before they are cut into words, so the words
+    themselves, and whatever is grouped by the key and more, need no shuffle.
+    """
+    return words(df.select(key, seq).repartition(key), L, both_strands, alphabet, seq).groupBy(key, "u").agg(F.count("*").alias("n"))
 
 
 def packed_bag(df: DataFrame, L: int, key: str = "seq_id", both_strands: bool = True, alphabet: str = S.DNA, seq: str = "seq") -> DataFrame:
@@ -101,9 +105,20 @@ def gapped_words(df: DataFrame, L: int, K: int, u: str = "u", first_fixed: bool
     return df.withColumn("f", F.explode(F.array(*(_gapped(F.col(u), m, L) for m in masks(L, K, first_fixed)))))
 
 
-def gapped_counts(bags: DataFrame, L: int, K: int, key: list[str] | None = None) -> DataFrame:
-    """How often each gapped word occurs (by key)."""
-    return gapped_words(bags, L, K).groupBy(*(key or []), "f").agg(F.sum("n").alias("n"))
+def gapped_counts(bags: DataFrame, L: int, K: int, key: list[str] | None = None, first_fixed: bool = False, half: bool = False) -> DataFrame:
+    """How often each gapped word occurs (by key).
+
+    first_fixed keeps the masks whose first place is fixed; half, with it, the
+    gapped words that begin with the first half of the alphabet: on both strands
+    the others are their reverse complements.
+    """
+    g = gapped_words(bags, L, K, first_fixed=first_fixed or half)
+    return (first_letters(g, "f") if half else g).groupBy(*(key or []), "f").agg(F.sum("n").alias("n"))
+
+
+def first_letters(df: DataFrame, word: str = "u", letters: str = S.DNA[:2]) -> DataFrame:
+    """Rows whose word begins with one of the letters."""
+    return df.where(F.substring(word, 1, 1).isin(*letters))
 
 
 def class_ratio(positive: DataFrame, negative: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kmerloom.plans.ranks import by_quantile, running_sums
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """seq_id (first word of the header), header, seq. Lines from ';' are comments; CRLF and a last line without end are read; an empty header is "NA".
@@ -33,8 +36,15 @@ def write_fasta(df: DataFrame, path: str, width: int = 60) -> None:
 
 
 def interval_names(df: DataFrame, suffix: str) -> DataFrame:
-    """seq_id as chrom_start_end_suffix_n, n by the order of the columns."""
-    from pyspark.sql import Window as W
-
-    n = F.row_number().over(W.orderBy("chrom", "start", "end"))
-    return df.withColumn("seq_id", F.concat_ws("_", "chrom", "start", "end", F.lit(suffix), n.cast("string")))
+    """seq_id as chrom_start_end_suffix_n, n from 1 by the order of chrom, start and end."""
+    chroms = by_quantile(df.withColumn("_all", F.lit(0)), "start", "_all")
+    one = chroms.withColumn("_one", F.lit(1))
+    # running numbers within a chromosome, and those of the chromosomes before it
+    inner = running_sums(one, "_slot", [F.col("start"), F.col("end")], {"_n": "_one"}, ["chrom"])
+    sizes = df.groupBy("chrom").count()
+    before = F.coalesce(F.sum("count").over(W.orderBy("chrom").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("chrom").alias("_chrom"), before.alias("_before"))
+    d = inner.join(sizes, F.col("chrom") == F.col("_chrom"))
+    n = F.col("_n") + F.col("_before") + 1
+    name = F.concat_ws("_", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), F.lit(suffix), n.cast("bigint").cast("string"))
+    return d.withColumn("seq_id", name).select(*(c for c in df.columns if c != "seq_id"), "seq_id")

@@ -95,7 +95,22 @@ def test_svm(spark):
     assert got == pytest.approx({i: v for i, v in enumerate(svm.solve_svc(k, y)[0] * y) if abs(v) > 1e-10})
     sizes = [r["count"] for r in svm.assign_folds(lab, 5).groupBy("cv_set").count().collect()]
     assert sizes == [8] * 5
+    assert svm.rotated(np.array([1, 2, 3, 4, 5]), 1).tolist() == [2, 3, 4, 5, 1]
+    f = svm.assign_folds(lab, 4)
+    before = [r.cv_set for r in f.orderBy("seq_id").collect()]
+    got = {}
+    for r in svm.rotate_folds(f, 2).collect():
+        got.setdefault(r.repeat, {})[r.seq_id] = r.cv_set
+    assert all([got[r][i] for i in range(40)] == before[r:] + before[:r] for r in (1, 2))
+    twice = lab.unionByName(lab.where("seq_id < 5").selectExpr("seq_id", "1 - label AS label"))
+    assert {r.seq_id: r.label for r in svm.classes(twice).collect()} == {i: int(y[i] > 0 or i < 5) for i in range(40)}
+    whole, _ = svm.solve_svc(k, y, 1.0, tol=1e-6)
+    blocks, off = svm.solve_in_blocks(kd.unionByName(kd.where("i <> j").selectExpr("j AS i", "i AS j", "k")), np.arange(40), y, 1.0, tol=1e-6, working=8)
+    assert k @ (blocks * y) - off == pytest.approx(k @ (whole * y) - b, abs=1e-3)
+    with pytest.raises(ValueError):
+        svm.solve_svc(np.full((2, 2), np.nan), np.array([1.0, -1.0]))
     pred, table, means = svm.cross_validate(kd, lab, [1.0], n_folds=4, repeats=2)
+    assert {r.seq_id: r.cv_set for r in means.collect()} == dict(enumerate(before))
     assert pred.count() == 80 and means.count() == 40 and table.first().auroc > 0.9
 
 
@@ -110,7 +125,11 @@ def test_intervals(spark):
     assert {(r.pos, r.chrom, r.offset) for r in intervals.locate(pos, sizes).collect()} == {(1, "c", 1), (300, "c", 300), (301, "d", 1), (310, "d", 10)}
     g = spark.createDataFrame([("c", "aacgt")], "chrom string, seq string")
     iv = spark.createDataFrame([("c", 2, 4, "+"), ("c", 2, 4, "-")], "chrom string, start long, end long, strand string")
-    assert sorted(r.seq for r in intervals.fetch(iv, g).collect()) == ["ACG", "CGT"]
+    for size in (1, 2, 3, 100):
+        assert sorted(r.seq for r in intervals.fetch(iv.unionByName(iv), g, size).collect()) == ["ACG", "ACG", "CGT", "CGT"]
+        odd = spark.createDataFrame([("c", -3, 2, "+"), ("c", 4, 90, "+"), ("c", 50, 60, "+"), ("x", 1, 2, "+")], iv.schema)
+        assert sorted(r.seq for r in intervals.fetch(odd, intervals.tiles(g, size), size).collect()) == ["", "AA", "GT"]
+    assert [(r.pos, r.chrom) for r in intervals.locate(pos, sizes, bin_size=7).orderBy("pos").collect()] == [(1, "c"), (300, "c"), (301, "d"), (310, "d")]
 
 
 def test_greedy_match(spark):

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom import engine
 from kmerloom.functions import sequences as S
 from kmerloom.functions.weights import Filter, Params
 from kmerloom.operators import background, estimates, intervals, kernels, metrics, profiles, scoring, svm, words
@@ -60,6 +61,20 @@ def _bag_sql(source: str, L: int, rc: bool = True, name: str = "bag", s: str = "
     return (source + ", " if source else "") + f"{name}_b AS ({both}), {name}_w AS (SELECT id, substr(seq, p, {L}) AS u FROM (SELECT id, seq, unnest(range(1, length(seq) - {L} + 2)) AS p FROM {name}_b WHERE length(seq) >= {L})), {name} AS (SELECT id, u, count(*) AS n FROM {name}_w GROUP BY id, u)"
 
 
+#: Fixed values of the SQL, not taken from the engine: weights by distance of the registered settings (L=6, K=4 by
+#: filter; L=5, K=3 truncated), the pseudo-count's factor and constant, and the minimum-norm weights of L=5, K=3.
+PAIR_WEIGHTS = {
+    0: [0.46606445312500006, 0.09887695312500003, -0.006591796874999998],
+    1: [0.39319580793380743, 0.11171936988830569, 0.0195533037185669],
+    2: [15.0, 5.0, 1.0],
+    3: [22.0, 6.0, 1.0],
+    4: [154.0, 64.0, 40.0],
+}
+PAIR_PSEUDO = (0.021956889759167108, 0.39150764678197475)
+DOC_WEIGHTS = [0.3016815185546875, 0.099700927734375, 0.022247314453125, 0.0, 0.0, 0.0]
+DOC_NORM_WEIGHTS = [0.03671875, -0.006901041666666667, 0.0015625, -0.000390625]
+
+
 def _weights_sql(weights: list[float], d: int) -> str:
     return "CASE m " + " ".join(f"WHEN {m} THEN CAST({w!r} AS DOUBLE)" for m, w in enumerate(weights[: d + 1])) + " ELSE 0.0 END"
 
@@ -153,13 +168,17 @@ def gapped_mismatch_counts(spark, sf_dir):
     return estimates.mismatch_counts(words.bag(item_seqs(spark, sf_dir), 5), words.gapped_counts(counts, 5, 3), 5, 3)
 
 
-@query()
+_ESTIMATES = f"{_bag_sql(_DOCS, 5)}, {_bag_sql(_ITEMS.replace('s AS', 't AS'), 5, name='other', s='t')}, c AS (SELECT u, sum(n) AS n FROM bag GROUP BY u), g AS (SELECT f, sum(n) AS n FROM (SELECT {_masks_sql(5, 3)} AS f, n FROM c) GROUP BY f), w AS (SELECT u, {_masks_sql(5, 3)} AS h FROM (SELECT DISTINCT u FROM other)), j AS (SELECT u, hamming(f, h) AS m, n FROM w JOIN g ON regexp_replace(f, '[^.]', 'x', 'g') = regexp_replace(h, '[^.]', 'x', 'g')), e AS (SELECT u, sum(n * {_weights_sql(DOC_NORM_WEIGHTS, 3)}) AS estimate FROM j GROUP BY u)"
+
+
+@query(f"WITH {_ESTIMATES} SELECT e.u, round(estimate, 8) AS estimate, round(log10((coalesce(n, 0) + 0.011123657227) / (greatest(estimate, 0) + 0.011123657227)), 4) + 0.0 AS log10_ratio FROM e LEFT JOIN c ON c.u = e.u")
 def word_estimates(spark, sf_dir):
     """Minimum-norm counts of the items' words in the documents, and the log10 ratio to the count seen."""
     b = words.document_frequency(words.bag(document_seqs(spark, sf_dir), 5)).select("u", F.col("n_total").alias("n"))
     e = estimates.ml_estimate(words.bag(item_seqs(spark, sf_dir), 5), words.gapped_counts(b, 5, 3), 5, 3)
     j = e.join(b, "u", "left").fillna(0, ["n"])
-    return j.select("u", "estimate", estimates.log10_ratio(F.col("n").cast("double"), F.col("estimate"), DOC.weights()).alias("log10_ratio"))
+    ratio = estimates.log10_ratio(F.col("n").cast("double"), F.col("estimate"), DOC.weights())
+    return j.select("u", F.round("estimate", 8).alias("estimate"), (F.round(ratio, 4) + 0.0).alias("log10_ratio"))
 
 
 # --- kernels ---------------------------------------------------------------------------
@@ -170,9 +189,9 @@ def _profile_sql(L: int, d: int, rc: bool = True) -> str:
 
 
 def _kernel_sql(params: Params) -> str:
-    d, c = params.max_distance, _weights_sql(params.weights(), params.max_distance)
+    d, c = params.max_distance, _weights_sql(PAIR_WEIGHTS[params.filter], params.max_distance)
     if params.pseudo_count:
-        factor, constant = params.pseudo_terms()
+        factor, constant = PAIR_PSEUDO
         product = f"t AS (SELECT id, sum(n) AS t FROM bag GROUP BY id), v AS (SELECT i, j, sum(cnt * {c}) AS v FROM p GROUP BY i, j), x AS (SELECT a.id AS i, b.id AS j, coalesce(v, 0) + (a.t + b.t) * CAST({factor!r} AS DOUBLE) + CAST({constant!r} AS DOUBLE) AS x FROM t a JOIN t b ON a.id >= b.id LEFT JOIN v ON v.i = a.id AND v.j = b.id)"
     else:
         product = f"x AS (SELECT i, j, sum(cnt * {c}) AS x FROM p GROUP BY i, j)"
@@ -217,7 +236,7 @@ _kernel("kernel_norc", both_strands=False)
 
 
 def _score_sql(doc_text: str = "text") -> str:
-    c_all, c_d = _weights_sql(DOC.weights(), DOC.L), _weights_sql(DOC.weights(), DOC.d)
+    c_all, c_d = _weights_sql(DOC_WEIGHTS, DOC.L), _weights_sql(DOC_WEIGHTS, DOC.d)
     docs = _DOCS if doc_text == "text" else _DOCS.replace("SELECT doc_id AS id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS seq", f"SELECT doc_id AS id, {doc_text} AS seq")
     norm = "{n} AS (SELECT id, sqrt(sum(cnt * {c})) AS z FROM (SELECT a.id, hamming(a.u, b.u) AS m, sum(a.n * b.n) AS cnt FROM {b} a JOIN {b} b ON a.id = b.id GROUP BY 1, 2) GROUP BY id)"
     return (
@@ -245,10 +264,10 @@ def delta_score(spark, sf_dir):
     return scoring.delta(ref, alt, model, DOC).select("seq_id", (F.round("delta", 6) + 0.0).alias("delta"))
 
 
-@query()
+@query(f"WITH {_score_sql()}, every AS (SELECT list_reduce(list_transform(range(5), lambda k: list_value('A', 'C', 'G', 'T')[1 + (x // CAST(4 ** (4 - k) AS BIGINT)) % 4]), lambda a, b: a || b) AS w, x FROM range(1024) r(x)) SELECT x AS u, round(sum(CASE WHEN m <= {DOC.d} THEN mw * {_weights_sql(DOC_WEIGHTS, DOC.d)} ELSE 0 END), 6) + 0.0 AS score FROM (SELECT x, hamming(every.w, model.u) AS m, model.w AS mw FROM every, model) GROUP BY x")
 def score_all_words(spark, sf_dir):
     model = scoring.fold_model(item_alphas(spark, sf_dir), item_seqs(spark, sf_dir), DOC)
-    return scoring.score_all_words(model, DOC)
+    return scoring.score_all_words(model, DOC).select("u", (F.round("score", 6) + 0.0).alias("score"))
 
 
 def _item_labels(spark, sf_dir):
@@ -267,8 +286,20 @@ def svm_ascent(spark, sf_dir):
 
 @query()
 def svm_cross_validation(spark, sf_dir):
-    _, found, _ = svm.cross_validate(QUERIES["kernel_t1"](spark, sf_dir).persist(), _item_labels(spark, sf_dir), [0.1, 1.0, 10.0])
-    return found
+    """Settings with their areas; the first row of the best is the one that is refitted."""
+    return engine.train_cv(QUERIES["kernel_t1"](spark, sf_dir), _item_labels(spark, sf_dir), [0.1, 1.0, 10.0]).settings
+
+
+@query()
+def svm_cv_means(spark, sf_dir):
+    """Per sequence the mean and deviation of its predictions over two repeats, at the best setting."""
+    return engine.train_cv(QUERIES["kernel_t1"](spark, sf_dir), _item_labels(spark, sf_dir), [0.1, 1.0], repeats=2).means
+
+
+@query()
+def svm_refit(spark, sf_dir):
+    """The model of all sequences at the best setting."""
+    return engine.train_cv(QUERIES["kernel_t1"](spark, sf_dir), _item_labels(spark, sf_dir), [0.1, 1.0]).model
 
 
 @query("SELECT item_id AS seq_id, CAST(row_number() OVER (ORDER BY md5('folds-1' || CAST(item_id AS VARCHAR)), item_id) % 5 + 1 AS INTEGER) AS cv_set FROM benchmark")
@@ -276,6 +307,14 @@ def cv_folds(spark, sf_dir):
     return svm.assign_folds(_item_labels(spark, sf_dir), 5)
 
 
+_FOLDS = "f AS (SELECT item_id AS seq_id, row_number() OVER (ORDER BY md5('folds-1' || CAST(item_id AS VARCHAR)), item_id) % 5 + 1 AS cv_set FROM benchmark), o AS (SELECT *, row_number() OVER (ORDER BY seq_id) - 1 AS place, count(*) OVER () AS n FROM f)"
+
+
+@query(f"WITH {_FOLDS} SELECT CAST(r AS INTEGER) AS repeat, a.seq_id, CAST(b.cv_set AS INTEGER) AS cv_set FROM range(1, 4) t(r), o a JOIN o b ON b.place = (a.place + r) % a.n")
+def cv_rotated_folds(spark, sf_dir):
+    return svm.rotate_folds(svm.assign_folds(_item_labels(spark, sf_dir), 5), 3)
+
+
 # --- metrics -----------------------------------------------------------------------------
 
 
@@ -341,8 +380,9 @@ def bad_intervals(spark, sf_dir):
 
 @query()
 def null_sequences(spark, sf_dir):
-    """Matched background of an interval on each benchmark item, drawn from all items."""
+    """Matched background of the middle half of each benchmark item, drawn from all items."""
     genome = item_seqs(spark, sf_dir).select(F.col("seq_id").cast("string").alias("chrom"), "seq")
-    pos = item_seqs(spark, sf_dir).where(F.length("seq") >= 20).select(F.col("seq_id").alias("id"), F.col("seq_id").cast("string").alias("chrom"), F.lit(1).cast("bigint").alias("start"), F.lit(20).cast("bigint").alias("end"), F.lit("+").alias("strand"))
+    n = F.length("seq").cast("bigint")
+    pos = item_seqs(spark, sf_dir).where(n >= 8).select(F.col("seq_id").alias("id"), F.col("seq_id").cast("string").alias("chrom"), (F.floor(n / 4) + 1).alias("start"), F.floor(3 * n / 4).alias("end"), F.lit("+").alias("strand"))
     masks = pos.select("chrom", F.lit(5).cast("bigint").alias("start"), F.lit(6).cast("bigint").alias("end"))
     return background.null_sequences(pos, genome, masks)

@@ -67,8 +67,8 @@ def write_delta(df: DataFrame, path: str) -> None:
 
 
 def write_cv_predictions(df: DataFrame, path: str) -> None:
-    """id, mean rounded to 5 places, label -1 or 1, fold from 0."""
-    df.select(F.concat_ws("\t", F.col("seq_id").cast("string"), F.round("cvpred_mean", 5).cast("string"), F.when(F.col("label") > 0, "1").otherwise("-1"), (F.col("cv_set") - 1).cast("string")).alias("value")).write.text(path)
+    """id, mean with 5 decimals, label -1 or 1, fold from 0."""
+    df.select(F.concat_ws("\t", F.col("seq_id").cast("string"), F.format_string("%.5f", F.col("cvpred_mean")), F.when(F.col("label") > 0, "1").otherwise("-1"), (F.col("cv_set") - 1).cast("string")).alias("value")).write.text(path)
 
 
 def write_auc_table(df: DataFrame, path: str) -> None:

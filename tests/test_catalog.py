@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from kmerloom.plans import catalog
+from kmerloom.plans import catalog, more  # noqa: F401
 
-TABLES = "nation supplier orders lineitem documents benchmark labels conversations".split()
+TABLES = "part nation supplier orders lineitem documents benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

@@ -20,7 +20,7 @@ def check_alphabet(alphabet: str) -> str:
 def clean(seq: Column, alphabet: str = DNA) -> Column:
     """Upper-case letters of the alphabet alone; what stood on both sides of a dropped letter is joined."""
     letters = re.escape(check_alphabet(alphabet).upper() + alphabet.lower())
-    return F.upper(F.regexp_replace(seq, f"[^{letters}]", ""))
+    return F.upper(F.regexp_replace(seq, f"[^{letters}]+", ""))
 
 
 def reverse_complement(seq: Column, alphabet: str = DNA) -> Column:

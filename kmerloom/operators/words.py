@@ -33,9 +33,12 @@ def bag(df: DataFrame, L: int, key: str = "seq_id", both_strands: bool = True, a
     """key, u, n: how often each word occurs. Sequences of one key are merged.
 
     The sequences are dealt by key before they are cut into words, so the words
-    themselves, and whatever is grouped by the key and more, need no shuffle.
+    themselves, and whatever is grouped by the key and more, need no shuffle. A
+    given number of partitions: adaptive execution would size them by the
+    sequences, a hundredth of what they become.
     """
-    return words(df.select(key, seq).repartition(key), L, both_strands, alphabet, seq).groupBy(key, "u").agg(F.count("*").alias("n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words(df.select(key, seq).repartition(n, key), L, both_strands, alphabet, seq).groupBy(key, "u").agg(F.count("*").alias("n"))
 
 
 def packed_bag(df: DataFrame, L: int, key: str = "seq_id", both_strands: bool = True, alphabet: str = S.DNA, seq: str = "seq") -> DataFrame:

@@ -1,9 +1,10 @@
 """Shared pieces: vectorised word hashing, Arrow maps, saved tables, salted prefix sums.
 
-Words are found and hashed for a whole slice of texts at once with numpy: each
-byte adds T[b] * B^i to a running sum modulo 2^64, so the hash of a word is a
-difference of two sums times B^-start. Slices hold about SLICE bytes (a longer
-text is a slice of its own), which bounds the memory of a task.
+Words are found and hashed for a whole slice of texts with numpy: each byte adds
+T[b] * B^i to a running sum modulo 2^64, so the hash of a word is a difference of
+two sums times B^-start. Slices hold about SLICE bytes (a longer text is a slice
+of its own) and are hashed in pieces of PIECE bytes, whatever text they cut: a
+word across pieces is put together from its parts.
 """
 
 from __future__ import annotations
@@ -74,17 +75,9 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df: the file size for a scan, without a job.
-
-    Where it has none (it then says 8 EB, or multiplies the sides of a join),
-    the texts are measured.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 50:
-        return size
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
-    row = df.agg(F.coalesce(F.sum(sum(texts, F.lit(512).cast("bigint"))), F.lit(0))).first()
+def text_size(df: DataFrame) -> int:
+    """Bytes of all texts of df and 64 a row, counted: compressed files would say too little."""
+    row = df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 64), F.lit(0))).first()
     return int(row[0])
 
 
@@ -144,24 +137,27 @@ def to_batch(schema: str, **cols) -> pa.RecordBatch:
 
 # --- words -------------------------------------------------------------------
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 LOWER = _SAME.copy()
 LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _cache.get("pow")
-    if have is None or len(have[0]) < n:
-        n = max(n, SLICE + 4096)
+#: Bytes that are hashed at a time.
+PIECE = 1 << 18
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE^i and BASE^-i, i up to PIECE."""
+    if "pow" not in _cache:
         out = []
         for b in (BASE, pow(BASE, -1, 1 << 64)):
-            p = np.full(n, b, U64)
+            p = np.full(PIECE + 64, b, U64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        have = _cache["pow"] = tuple(out)
-    return have
+        _cache["pow"] = tuple(out)
+    return _cache["pow"]
 
 
 def _values() -> np.ndarray:
@@ -181,41 +177,73 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a slice of texts: byte ranges, 64-bit hashes, and where each text's words begin."""
+    """The words of a slice of texts: byte ranges, 64-bit hashes, and where each text's words begin.
+
+    Bytes are hashed piece by piece, so beyond the texts only some 16 bytes a
+    word are held, however long a text is. `prefixes`: lengths k for which
+    prefix[j] has the hash of the first k bytes of each longer word (0 else).
+    """
 
-    def __init__(self, col: pa.Array, lower: bool = False, gap: np.ndarray = _SPACE):
+    def __init__(self, col: pa.Array, lower: bool = False, gap: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()):
         raw, off = text_bytes(col)
         self.raw = raw
-        self.data = data = LOWER[raw] if lower else raw
+        self.data = LOWER[raw] if lower else raw
         self.off = off
-        n = len(data)
-        if n:
-            inside = ~gap[data]
-            first = inside.copy()
-            first[1:] &= ~inside[:-1]
-            last = inside.copy()
-            last[:-1] &= ~inside[1:]
-            cut = off[1:-1]
-            cut = cut[(cut > 0) & (cut < n)]
-            first[cut] = inside[cut]
-            last[cut - 1] = inside[cut - 1]
-            self.start = np.flatnonzero(first)
-            self.end = np.flatnonzero(last) + 1
-            up, down = _powers(n + 1)
-            total = np.zeros(n + 1, U64)
-            np.cumsum(_values()[data] * up[:n], out=total[1:])
-            self.total, self.down = total, down
-            self.hash = self.part(self.end)
-        else:
-            self.start = self.end = np.zeros(0, np.int64)
-            self.total = self.down = np.ones(1, U64)
-            self.hash = np.zeros(0, U64)
+        starts, ends, hashes, heads = [], [], [], [[] for _ in prefixes]
+        opened = None  # of a word that goes on in the next piece: its hash so far and its bytes
+        for at in range(0, len(raw), PIECE):
+            opened = self._piece(at, gap, prefixes, opened, starts, ends, hashes, heads)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        kind = np.int32 if len(raw) < 1 << 31 else np.int64
+        self.start, self.end, self.hash = join(starts, kind), join(ends, kind), join(hashes, U64)
+        self.prefix = [join(h, U64) for h in heads]
         self.at = np.searchsorted(self.start, off)  # words of text d: at[d]..at[d+1]
         self.count = np.diff(self.at)
 
-    def part(self, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from each word's start to `end`."""
-        return mix((self.total[end] - self.total[self.start]) * self.down[self.start])
+    def _piece(self, at: int, gap: np.ndarray, prefixes: tuple[int, ...], opened: tuple[int, int] | None, starts: list, ends: list, hashes: list, heads: list) -> tuple[int, int] | None:
+        x = self.data[at : at + PIECE]
+        n = len(x)
+        inside = ~gap[x]
+        before = np.empty(n + 1, bool)  # before[i]: a word comes from the byte before i to i
+        before[0] = opened is not None
+        before[1:n] = inside[:-1] & inside[1:]
+        before[n] = inside[-1] and at + n < len(self.data) and not gap[self.data[at + n]]
+        cut = self.off[np.searchsorted(self.off, at, "right") : np.searchsorted(self.off, at + n, "right")] - at
+        before[cut] = False
+        first, last = inside & ~before[:-1], inside & ~before[1:]
+        up, down = _powers()
+        total = np.zeros(n + 1, U64)
+        np.cumsum(_values()[x] * up[:n], out=total[1:])
+        kind = np.int32 if len(self.data) < 1 << 31 else np.int64
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        starts.append((s + at).astype(kind))
+        ends.append((e + at).astype(kind))
+        if opened is not None:
+            done = int(e[0]) if len(e) else n
+            whole = (opened[0] + int(total[done]) * pow(BASE, opened[1], 1 << 64)) % (1 << 64)
+            opened = whole, opened[1] + done
+            if len(e):
+                hashes.append(mix(np.array([whole], U64)))
+                opened, e = None, e[1:]
+        m = len(e)
+        hashes.append(mix((total[e] - total[s[:m]]) * down[s[:m]]))
+        for k, out in zip(prefixes, heads, strict=True):
+            h = np.zeros(len(s), U64)
+            long = e - s[:m] > k
+            h[:m][long] = mix((total[s[:m][long] + k] - total[s[:m][long]]) * down[s[:m][long]] ^ U64(k))
+            if len(s) > m:  # the word that goes on
+                h[m] = self._head(at + int(s[m]), k, gap)
+            out.append(h)
+        if len(s) > m:
+            return (int(total[n]) - int(total[s[m]])) * int(down[s[m]]) % (1 << 64), n - int(s[m])
+        return opened
+
+    def _head(self, start: int, k: int, gap: np.ndarray) -> np.uint64:
+        end = int(self.off[np.searchsorted(self.off, start, "right")])
+        x = self.data[start : min(start + k + 1, end)]
+        if len(x) <= k or gap[x].any():
+            return U64(0)
+        return mix((_values()[x[:k]] * _powers()[0][:k]).sum(dtype=U64, keepdims=True) ^ U64(k))[0]
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
@@ -235,9 +263,16 @@ class Words:
             g = g * m + h[j : len(h) - k + 1 + j]
         return mix(g)
 
-    def sums(self, per_byte: np.ndarray) -> np.ndarray:
-        """Sum of a value per byte over each text."""
-        return sums_by(per_byte, self.off)
+    def sums(self, marked: np.ndarray) -> np.ndarray:
+        """How many bytes of each text are marked in a table of 256."""
+        out = np.zeros(len(self.off) - 1, np.int64)
+        for at in range(0, len(self.data), PIECE):
+            total = np.zeros(min(PIECE, len(self.data) - at) + 1, np.int64)
+            np.cumsum(marked[self.data[at : at + PIECE]], out=total[1:])
+            lo, hi = np.searchsorted(self.off, at, "right") - 1, np.searchsorted(self.off, at + len(total) - 1, "left")
+            edge = np.clip(self.off[lo : hi + 1] - at, 0, len(total) - 1)
+            out[lo:hi] += total[edge[1:]] - total[edge[:-1]]
+        return out
 
 
 def sums_by(values: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_map, only, saved, slices, sums_by, text_bytes, to_batch
+from .common import SPACE, U64, Words, arrow_map, only, saved, slices, sums_by, to_batch
 
 #: Labelled rows that the list is learned from, at most (about): a hash of the id picks them.
 TRAIN_ROWS = 20_000
@@ -25,6 +25,9 @@ _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _MARKS = np.zeros(256, bool)
 _MARKS[[ord(c) for c in "!?;:"]] = True
+_UPPER, _DIGITS, _WORD_CHARS = np.zeros(256, bool), np.zeros(256, bool), ~SPACE
+_UPPER[65:91] = _DIGITS[48:58] = True
+_WORD_CHARS[0x80:0xC0] = False  # bytes that go on with a character
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits", "n_adjacent", "n_distinct", "n_lines")
 _SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS)
 
@@ -39,12 +42,7 @@ def _distinct_keys(w: Words, h: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def _statistics(b: pa.RecordBatch) -> pa.RecordBatch:
     col = b.column("text")
     w = Words(col)
-    d, n = w.data, len(w.count)
-    inside_word = np.zeros(len(d) + 1, np.int64)
-    np.add.at(inside_word, w.start, 1)
-    np.add.at(inside_word, w.end, -1)
-    in_word = np.cumsum(inside_word[: len(d)]) > 0
-    lead = (d & 0xC0) != 0x80
+    n = len(w.count)
     docs = w.doc()
     keys = np.sort(_distinct_keys(w, w.hash, docs))
     fresh = np.ones(len(keys), bool)
@@ -66,16 +64,15 @@ def _statistics(b: pa.RecordBatch) -> pa.RecordBatch:
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + 8, -1)
             repeat = np.cumsum(edge[:-1]) > 0
-    raw, off = d.tobytes(), w.off.tolist()
+    off = w.off.tolist()
     dup, lines = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(n):
-        full = [x for x in raw[off[i] : off[i + 1]].split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
+        full = [x for x in w.data[off[i] : off[i + 1]].tobytes().split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
         lines[i] = len(full)
         dup[i] = len(full) - len(set(full))
-    byte = lambda mask: sums_by(mask, w.off)
     return to_batch(
-        _SCHEMA, doc_id=b.column("doc_id"), n_words=w.count, word_chars=byte(in_word & lead), n_symbols=byte(_SYMBOLS[d]), n_dup_lines=dup,
-        n_repeat_words=sums_by(repeat, w.at), n_upper=byte((d >= 65) & (d <= 90)), n_marks=byte(_MARKS[d]), n_digits=byte((d >= 48) & (d <= 57)),
+        _SCHEMA, doc_id=b.column("doc_id"), n_words=w.count, word_chars=w.sums(_WORD_CHARS), n_symbols=w.sums(_SYMBOLS), n_dup_lines=dup,
+        n_repeat_words=sums_by(repeat, w.at), n_upper=w.sums(_UPPER), n_marks=w.sums(_MARKS), n_digits=w.sums(_DIGITS),
         n_adjacent=sums_by(same, w.at), n_distinct=np.bincount(owner[fresh], minlength=n)[:n], n_lines=lines,
     )
 

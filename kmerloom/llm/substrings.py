@@ -24,17 +24,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, U64, Words, mix, text_bytes
-from .exchange import bucket_cuts, dealt, member, packed_bits, planes, unpacked_bits, unplanes
+from .exchange import DIRECT, SENT, Question, ask, bits_of, dealt, member, planes, runs, sent_bits, unbits, unplanes
 
 WINDOW, BLOCK = 13, 7
-_SENT = "bucket int, chunk int, n int, hashes binary, flags binary"
-_ASKED = "bucket int, chunk int, hashes binary, ids binary"
-_ANSWER = "chunk int, bucket int, n int, flags binary"
-_EARLIER = "chunk int, hashes binary"
+#: Bits of a probe's hash beyond the bucket number.
+PROBE_BITS = 32
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _LAST = (1 << 63) - 1
 
 
+def _probes(bits: int) -> Question:
+    """Is a hash a block of one text and a window of another? Load: in several texts, a block of one."""
+
+    def merge(load: np.ndarray, first: np.ndarray) -> np.ndarray:
+        several = np.diff(np.append(first, load.shape[1])) > 1
+        either = np.logical_or.reduceat(load, first, axis=1) if len(first) else load
+        either[0] |= several
+        return either
+
+    return Question(
+        width=bits + PROBE_BITS,
+        pack=lambda load: bits_of(*load), unpack=lambda raw, n: np.stack(unbits(raw, n, 2)),
+        merge=merge, verdict=lambda load: load[0] & load[1], reply=lambda own, load, verdict: verdict,
+        write=lambda h, reply: bits_of(reply), read=lambda raw, h: unbits(raw, len(h))[0],
+    )
+
+
+def _starts() -> Question:
+    """Does a window start in a document with a smaller id? Load: the smallest id, of the chunk or of the group of chunks. The answer lists the hashes for which it does."""
+    return Question(
+        width=64,
+        pack=lambda load: load[0].astype(np.int64).tobytes(), unpack=lambda raw, n: np.frombuffer(raw, np.int64)[None],
+        merge=lambda load, first: np.minimum.reduceat(load, first, axis=1) if len(first) else load,
+        verdict=lambda load: np.zeros(load.shape[1], bool), reply=lambda own, load, verdict: verdict | (load[0] < own[0]),
+        write=lambda h, reply: planes(h[reply]), read=lambda raw, h: member(unplanes(raw), h),
+    )
+
+
 def _texts(t: pa.Table) -> tuple[pa.Array, np.ndarray]:
     """Texts in the order of their ids (null last) and the ids (null: the largest long)."""
     t = t.combine_chunks()
@@ -75,62 +101,27 @@ class _Chunk:
         return mix(g[start]), np.repeat(np.arange(len(self.count)), self.count)[start], start
 
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
-
-
-def _short(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket bits and the 32 that follow, as one number."""
-    return hashes >> U64(32 - bits)
+def _probe_keys(c: _Chunk, bits: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct short hashes of the windows; two rows: in several texts of the chunk, a block of one; and short hash and start of every window."""
+    g, doc, start = c.grams(block)
+    s = g >> U64(64 - PROBE_BITS - bits)
+    order = np.argsort(s)
+    first = runs(s[order])
+    if not len(first):
+        return s, np.zeros((2, 0), bool), s, start
+    doc, at_block = doc[order], ((start - c.at[doc]) % block == 0)[order]
+    several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+    return s[order[first]], np.stack([several, np.logical_or.reduceat(at_block, first)]), s, start
 
 
-def _probe_keys(c: _Chunk, bits: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct short hashes of the windows, which are in several texts of the chunk, which are a block of one; then short hash and start of every window."""
-    g, doc, start = c.grams(block)
-    s = _short(g, bits)
-    at_block = (start - c.at[doc]) % block == 0
-    wide = int(max(len(c.count), 2) - 1).bit_length() + 1
-    key = np.sort((s << U64(wide)) | (doc.astype(U64) << U64(1)) | at_block)
-    value = key >> U64(wide)
-    first = _runs(value)
-    distinct = value[first]
-    last = np.append(first[1:], len(value)) - 1 if len(first) else first
-    many = (key[first] ^ key[last]) >> U64(1) != 0 if len(first) else np.zeros(0, bool)
-    is_block = np.logical_or.reduceat((key & U64(1)).astype(bool), first) if len(first) else np.zeros(0, bool)
-    return distinct, many, is_block, s, start
-
-
-def _send(bits: int, block: int):
+def _send(bits: int, block: int, direct: int):
     def run(t: pa.Table) -> pa.Table:
-        c = _Chunk(t)
-        distinct, many, is_block, _, _ = _probe_keys(c, bits, block)
-        bucket = (distinct >> U64(32)).astype(np.int64)
-        cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        rows = [i for i in range(1 << bits) if cut[i + 1] > cut[i]]
-        part = lambda x, i: x[cut[i] : cut[i + 1]]
-        return pa.table({
-            "bucket": pa.array(rows, pa.int32()), "chunk": pa.array([t.column("chunk")[0].as_py()] * len(rows), pa.int32()), "n": pa.array([int(cut[i + 1] - cut[i]) for i in rows], pa.int32()),
-            "hashes": pa.array([planes(part(distinct, i).astype(np.uint32)) for i in rows], pa.binary()), "flags": pa.array([packed_bits(part(many, i)) + packed_bits(part(is_block, i)) for i in rows], pa.binary()),
-        })
+        distinct, load, _, _ = _probe_keys(_Chunk(t), bits, block)
+        return _probes(bits).sent(t.column("chunk")[0].as_py(), distinct, load, sent_bits(bits, direct))
 
     return run
 
 
-def _answer(t: pa.Table) -> pa.Table:
-    """Per chunk and hash: is it a block of one text and a window of another?"""
-    raw, flags, n = (t.column(c).to_pylist() for c in ("hashes", "flags", "n"))
-    each = [unplanes(r, np.uint32) for r in raw]
-    half = [(k + 7) // 8 for k in n]
-    many = np.concatenate([unpacked_bits(f[:h], k) for f, h, k in zip(flags, half, n, strict=True)])
-    block = np.concatenate([unpacked_bits(f[h:], k) for f, h, k in zip(flags, half, n, strict=True)])
-    everything = np.concatenate(each)
-    s = np.sort(everything)
-    shared = np.union1d(s[1:][s[1:] == s[:-1]], everything[many])
-    shared = shared[member(np.unique(everything[block]), shared)]
-    out = [packed_bits(member(shared, x)) for x in each]
-    return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "n": t.column("n"), "flags": pa.array(out, pa.binary())})
-
-
 def _around_hits(c: _Chunk, start: np.ndarray, hit: np.ndarray, window: int, block: int) -> np.ndarray:
     """Starts of the windows of `window` words that hold a hit block window."""
     left = np.repeat(c.at[1:], c.count) - np.arange(len(c.hash))
@@ -142,49 +133,25 @@ def _around_hits(c: _Chunk, start: np.ndarray, hit: np.ndarray, window: int, blo
     return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (left >= window))
 
 
-def _ask(bits: int, window: int, block: int):
+def _ask(bits: int, window: int, block: int, direct: int):
     def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        none = pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+        q = _starts()
         if not texts.num_rows or not answers.num_rows:
-            return none
+            return q.sent(0, np.zeros(0, U64), np.zeros((1, 0), np.int64), sent_bits(bits, direct))
         c = _Chunk(texts)
-        distinct, _, _, s, start = _probe_keys(c, bits, block)
-        order = np.argsort(answers.column("bucket").to_numpy())
-        flags, n = answers.column("flags").to_pylist(), answers.column("n").to_pylist()
-        hit = distinct[np.concatenate([unpacked_bits(flags[i], n[i]) for i in order])]
-        p = _around_hits(c, start, member(hit, s), window, block)
+        distinct, _, s, start = _probe_keys(c, bits, block)
+        p = _around_hits(c, start, member(distinct[_probes(bits).learnt(answers, distinct)], s), window, block)
         g, doc, at = c.grams(window)
         k = np.searchsorted(at, p)
         g, doc = g[k], doc[k]
         order = np.lexsort((doc, g))  # texts are in the order of their ids
-        g, doc = g[order], doc[order]
-        first = _runs(g)
-        g, ids = g[first], c.ids[doc[first]]
-        cut = bucket_cuts(g, bits)
-        rows = [i for i in range(1 << bits) if cut[i + 1] > cut[i]]
-        if not rows:
-            return none
-        return pa.table({
-            "bucket": pa.array(rows, pa.int32()), "chunk": pa.array([texts.column("chunk")[0].as_py()] * len(rows), pa.int32()),
-            "hashes": pa.array([planes(g[cut[i] : cut[i + 1]]) for i in rows], pa.binary()), "ids": pa.array([ids[cut[i] : cut[i + 1]].astype(np.int64).tobytes() for i in rows], pa.binary()),
-        })
+        first = runs(g[order])
+        on = order[first]
+        return q.sent(key[0].as_py(), g[on], c.ids[doc[on]][None], sent_bits(bits, direct))
 
     return run
 
 
-def _resolve(t: pa.Table) -> pa.Table:
-    """Per chunk the hashes that start in a document with a smaller id than any of the chunk's."""
-    each = [unplanes(r, np.uint64) for r in t.column("hashes").to_pylist()]
-    ids = [np.frombuffer(r, np.int64) for r in t.column("ids").to_pylist()]
-    g, d = np.concatenate(each), np.concatenate(ids)
-    order = np.lexsort((d, g))
-    g, d = g[order], d[order]
-    first = _runs(g)
-    g, least = g[first], d[first]
-    out = [planes(x[least[np.searchsorted(g, x)] < own]) for x, own in zip(each, ids, strict=True)]
-    return pa.table({"chunk": t.column("chunk"), "hashes": pa.array(out, pa.binary())})
-
-
 def _removed(c: _Chunk, earlier: np.ndarray, window: int) -> np.ndarray:
     """Which words of the chunk go: those of windows that start in an earlier document, in the chunk or out of it."""
     g, doc, start = c.grams(window)
@@ -195,7 +162,7 @@ def _removed(c: _Chunk, earlier: np.ndarray, window: int) -> np.ndarray:
     if len(k):
         order = np.lexsort((doc[k], g[k]))
         k = k[order]
-        first = _runs(g[k])
+        first = runs(g[k])
         least = np.repeat(c.ids[doc[k[first]]], np.diff(np.append(first, len(k))))
         gone[k] |= least < c.ids[doc[k]]
     edge = np.zeros(len(c.hash) + 1, np.int64)
@@ -215,14 +182,14 @@ def cut_out(text: bytes, gone: np.ndarray) -> bytes:
     return np.frombuffer(text, np.uint8)[np.cumsum(edge[:-1]) == 0].tobytes()
 
 
-def _finish(window: int, rest: list[str], with_text: bool, schema: pa.Schema):
+def _finish(window: int, with_text: bool, schema: pa.Schema):
     def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return schema.empty_table()
         texts = texts.combine_chunks()
         texts = texts.take(pa.compute.sort_indices(texts, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
         c = _Chunk(texts)
-        earlier = [unplanes(r, np.uint64) for r in answers.column("hashes").to_pylist()] if answers.num_rows else []
+        earlier = [unplanes(r) for r in answers.column("answer").to_pylist()] if answers.num_rows else []
         gone = _removed(c, np.sort(np.concatenate(earlier)) if earlier else np.zeros(0, U64), window)
         data, off = text_bytes(c.col)
         raw, n = data.tobytes(), len(c.count)
@@ -252,12 +219,13 @@ def _finish(window: int, rest: list[str], with_text: bool, schema: pa.Schema):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, window: int = WINDOW, block: int = BLOCK, direct: int = DIRECT) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed and kept_sha256, or with with_text kept_text (the text without the removed words).
 
     Null texts have no words (kept_text stays null); a null id is larger than
-    any other; rows that share an id never remove from each other. No rows, no
-    rows. The extra columns of docs come along when with_text is set.
+    any other; rows that share an id never remove from each other, so repeated
+    rows fare alike. No rows, no rows. With with_text the extra columns of docs
+    come along in a struct column `rest`, whatever their names.
 
     Windows are compared by 64-bit hashes: among n distinct repeated windows a
     false match has odds of about n^2 / 2^65. Probes use 32 bits beyond the
@@ -265,26 +233,47 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, window: int = WINDO
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever it starts")
+    extra = [c for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
     cols = {"doc_id": "bigint", "text": "string"}
-    if with_text:
-        cols |= {f.name: f.dataType.simpleString() for f in docs.schema.fields if f.name not in cols and f.name not in ("chunk", "n_words", "n_removed", "kept_text")}
+    if extra:
+        docs = docs.select("doc_id", "text", F.struct(*(docs[c] for c in extra)).alias("rest"))
+        cols["rest"] = docs.schema["rest"].dataType.simpleString()
     d, parts, bits = dealt(docs, **cols)
-    sent = d.groupBy("chunk").applyInArrow(_send(bits, block), _SENT)
-    answers = sent.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_answer, _ANSWER)
-    asked = d.groupBy("chunk").cogroup(answers.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(_ask(bits, window, block), _ASKED)
-    earlier = asked.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_resolve, _EARLIER)
-    rest = [c for c in cols if c not in ("doc_id", "text")]
+    q = [_probes(bits), _starts()]
+    sent = d.groupBy("chunk").applyInArrow(_send(bits, block, direct), SENT)
+    answers, _ = ask(sent, q[0], parts, bits, direct)
+    asked = d.groupBy("chunk").cogroup(answers.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(_ask(bits, window, block, direct), SENT)
+    earlier, _ = ask(asked, q[1], parts, bits, direct)
     if with_text:
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-        fields = [StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())]
-        out = StructType(fields + [d.schema[c] for c in rest])
+        out = StructType([StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType()), *(d.schema[c] for c in cols if c == "rest")])
         arrow = to_arrow_schema(out)
     else:
         out = _OUT
         arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-    return d.groupBy("chunk").cogroup(earlier.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(_finish(window, rest, with_text, arrow), out)
+    return d.groupBy("chunk").cogroup(earlier.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(_finish(window, with_text, arrow), out)
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs, all rows and columns, with the repeated passages cut out of text; n_chars, where there is one, follows a text that was cut.
+
+    As remove_repeats: null texts and ids, repeated rows and empty tables; other columns stay as they are, whatever their names.
+    """
+    cut = remove_repeats(docs, with_text=True, **options)
+    changed = F.col("n_removed") > 0
+    cols = []
+    for c in docs.columns:
+        if c == "doc_id":
+            cols.append(F.col("doc_id").cast(docs.schema[c].dataType).alias(c))
+        elif c == "text":
+            cols.append(F.col("kept_text").alias(c))
+        elif c == "n_chars":
+            cols.append(F.when(changed, F.length("kept_text")).otherwise(F.col("rest").getField(c)).cast(docs.schema[c].dataType).alias(c))
+        else:
+            cols.append(F.col("rest").getField(c).alias(c))
+    return cut.select(*cols)
 
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:

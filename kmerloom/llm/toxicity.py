@@ -25,6 +25,8 @@ BITS = 18
 PREFIXES = (5, 6, 7)
 PER_WORD = 1 + len(PREFIXES)
 EPOCHS = 10
+#: Sentences that are judged at a time.
+SENTENCES = 1 << 15
 #: Share of the words that a training batch sees.
 KEEP = 0.6
 _GAP = np.ones(256, bool)
@@ -37,19 +39,18 @@ _SCORES = "doc_id long, held_out boolean, score double, n_sentences long, n_toxi
 
 def sentences(col: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words of lower-cased texts, their bins (PER_WORD each), and the words that open a sentence (a stop or a line end lies before them, or their text begins)."""
-    w = Words(col, lower=True, gap=_GAP)
-    stops = np.zeros(len(w.data) + 1, np.int64)
-    np.cumsum(_STOP[w.data], out=stops[1:])
+    w = Words(col, lower=True, gap=_GAP, prefixes=PREFIXES)
+    stops = np.flatnonzero(_STOP[w.data])
+    before = np.searchsorted(stops, w.start)
     opens = np.zeros(len(w.start), bool)
     if len(opens):
-        opens[1:] = stops[w.start[1:]] > stops[w.end[:-1]]
+        opens[1:] = before[1:] > before[:-1]
         opens[w.at[:-1][w.count > 0]] = True
     bins = np.full((len(w.start), PER_WORD), 1 << BITS, np.uint32)
     bins[:, 0] = w.hash >> U64(64 - BITS)
-    for j, k in enumerate(PREFIXES, 1):
-        long = w.end - w.start > k
-        h = mix(w.part(np.where(long, w.start + k, w.end)) ^ U64(k))
-        bins[long, j] = (h >> U64(64 - BITS))[long]
+    for j, h in enumerate(w.prefix, 1):
+        long = h != 0
+        bins[long, j] = (h[long] >> U64(64 - BITS))
     return w, bins.ravel(), np.flatnonzero(opens)
 
 
@@ -161,8 +162,13 @@ def _judge(col: pa.Array, model: tuple[np.ndarray, float]) -> tuple[Words, np.nd
     """Words, where sentences open, the sentences of each text (at), and the probability of each sentence."""
     weights, bias = model
     w, bins, opens = sentences(col)
-    z = np.add.reduceat(weights[bins].astype(np.float64), PER_WORD * opens) + bias if len(opens) else np.zeros(0)
-    return w, opens, np.searchsorted(opens, w.at), 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    p = np.zeros(len(opens))
+    for lo in range(0, len(opens), SENTENCES):
+        on = opens[lo : lo + SENTENCES]
+        end = opens[lo + SENTENCES] if lo + SENTENCES < len(opens) else len(w.start)
+        z = np.add.reduceat(weights[bins[PER_WORD * on[0] : PER_WORD * end]].astype(np.float64), PER_WORD * (on - on[0])) + bias
+        p[lo : lo + SENTENCES] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return w, opens, np.searchsorted(opens, w.at), p
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -29,14 +29,16 @@ BASE = 0x9E3779B97F4A7C15
 U64 = np.uint64
 
 _cache: dict = {}
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 # --- session -----------------------------------------------------------------
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, and Arrow batches of a bounded number of texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Give the executors this package, and Arrow batches of a bounded number of texts, unless the session has a number of its own."""
+    if _RECORDS not in dict(spark.conf.getAll):
+        spark.conf.set(_RECORDS, "1000")
     sc = spark.sparkContext
     if _cache.get("shipped") == sc.applicationId:
         return

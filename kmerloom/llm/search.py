@@ -15,18 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_map, only, plan_bytes, saved, to_batch
+from .common import arrow_map, only, saved, ship, to_batch
 
 K = 5
-QUERY_BLOCK = 1024
+#: Rows that are compared with at a time.
 ROW_BLOCK = 4096
 LEVELS = (4, 16)
-_BLOCK = "dim int, n int, ids binary, comps binary, wide boolean"
-_HIT = "block long, qrow int, query_id long, vec_id long, score long"
+#: Bytes of queries that may go to every task; more are dealt in groups of this size.
+QUERY_BYTES = 16 << 20
+#: Bytes of rows of a task where they are dealt.
+PART_BYTES = 32 << 20
+_HIT = "qrow long, query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -38,31 +42,6 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok).select("vec_id", low.alias("v"))
 
 
-def _blocks(size: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def out(dim: int) -> pa.RecordBatch:
-            ids, comps = zip(*held.pop(dim), strict=True)
-            c = np.concatenate(comps)
-            wide = bool(len(c)) and float(np.abs(c).max()) ** 2 * max(dim, 1) >= 2.0**53
-            return to_batch(_BLOCK, dim=[dim], n=[len(ids)], ids=[np.array(ids, np.int64).tobytes()], comps=[c.astype(np.float64).tobytes()], wide=[wide])
-
-        for b in batches:
-            col = b.column(1)
-            off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
-            values = col.values.to_numpy(zero_copy_only=False)
-            for i, vec in enumerate(b.column(0).to_pylist()):
-                x = values[off[i] : off[i + 1]]
-                held.setdefault(len(x), []).append((vec, x))
-                if len(held[len(x)]) >= size:
-                    yield out(len(x))
-        for dim in list(held):
-            yield out(dim)
-
-    return pack
-
-
 def _stats(x: np.ndarray, parts: int) -> np.ndarray:
     """Per segment sqrt(l)*mean and sqrt(l)*deviation, so that a dot product of two rows is the bound."""
     cuts = np.array_split(np.arange(x.shape[1]), parts)
@@ -74,70 +53,141 @@ def _stats(x: np.ndarray, parts: int) -> np.ndarray:
     return np.stack(cols, 1)
 
 
-def _best(q: np.ndarray, x: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: int, wide: bool, levels: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query row its k best candidates: row, ids, scores."""
-    dim = q.shape[1]
-    levels = [p for p in levels if p < dim]
-    qs, xs = [_stats(q, p) for p in levels], [_stats(x, p) for p in levels]
-    slack = 1e-9 * (np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max() if len(x) else 0) + 1)
-    coarse = qs[0] @ xs[0].T if levels else None
-    for i in range(len(q)):
-        rows = np.flatnonzero(xid != qid[i])
-        if len(rows) > k and levels and not wide:
-            bound = coarse[i, rows]
-            seeds = rows[np.argpartition(-bound, k - 1)[:k]]
-            least = (x[seeds] @ q[i]).min()  # k candidates reach it, so the k-th best does
-            rows = rows[bound + slack[i] >= least]
-            for a, b in zip(qs[1:], xs[1:], strict=True):
-                bound = b[rows] @ a[i]
-                best = rows[np.argpartition(-bound, k - 1)[:k]] if len(rows) > k else rows
-                least = max(least, (x[best] @ q[i]).min())
-                rows = rows[bound + slack[i] >= least]
-        if wide:  # beyond exact doubles: whole numbers, kept within a long
-            score = np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(q[i], x[r], strict=True)))) for r in rows], dtype=object)
-            score = score.astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-        else:
-            score = (x[rows] @ q[i]).astype(np.int64)
-        top = np.lexsort((xid[rows], -score.astype(object) if wide else -score))[:k]
-        yield i, xid[rows[top]], score[top]
-
-
-def _search(k: int, levels: tuple[int, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                q = np.frombuffer(r["qcomps"]).reshape(r["qn"], r["dim"])
-                x = np.frombuffer(r["comps"]).reshape(r["n"], r["dim"])
-                qid, xid = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                out = list(_best(q, x, qid, xid, k, r["wide"] or r["qwide"], levels))
-                n = [len(ids) for _, ids, _ in out]
-                if sum(n):
-                    yield to_batch(_HIT, block=np.full(sum(n), r["block"]), qrow=np.repeat([i for i, _, _ in out], n), query_id=np.repeat([qid[i] for i, _, _ in out], n), vec_id=np.concatenate([ids for _, ids, _ in out]), score=np.concatenate([s for _, _, s in out]))
-
-    return run
-
-
-def top_k(queries: DataFrame, rows: DataFrame, k: int = K, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+class _Search:
+    """Queries of one length, and the k best rows of each so far."""
+
+    def __init__(self, qrow: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int, levels: tuple[int, ...]):
+        self.qrow, self.qid, self.q, self.k = qrow, qid, q, k
+        self.levels = [p for p in levels if p < q.shape[1]]
+        self.stats = [_stats(q, p) for p in self.levels]
+        self.norm = np.linalg.norm(q, axis=1)
+        self.top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+        self.least = np.full(len(q), -np.inf)  # the k-th best score so far: no row below it matters
+
+    def see(self, xid: np.ndarray, x: np.ndarray) -> None:
+        """Compares all queries with a block of rows."""
+        if not len(x):
+            return
+        wide = float(np.abs(x).max(initial=0)) * float(np.abs(self.q).max(initial=0)) * max(x.shape[1], 1) >= 2.0**53
+        prune = bool(self.levels) and not wide
+        xs = [_stats(x, p) for p in self.levels] if prune else []
+        slack = 1e-9 * (self.norm * np.linalg.norm(x, axis=1).max() + 1)
+        coarse = self.stats[0] @ xs[0].T if prune else None
+        for i in range(len(self.q)):
+            rows = np.flatnonzero(xid != self.qid[i])
+            if prune:
+                least = self.least[i]
+                for level, (a, b) in enumerate(zip(self.stats, xs, strict=True)):
+                    bound = coarse[i, rows] if level == 0 else b[rows] @ a[i]
+                    if len(rows) > self.k:
+                        seeds = rows[np.argpartition(-bound, self.k - 1)[: self.k]]
+                        least = max(least, (x[seeds] @ self.q[i]).min())  # k candidates reach it, so the k-th best does
+                    rows = rows[bound + slack[i] >= least]
+            if not len(rows):
+                continue
+            if wide:  # beyond exact doubles: whole numbers, kept within a long
+                score = np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(self.q[i], x[r], strict=True)))) for r in rows], dtype=object).astype(np.int64)
+            else:
+                score = (x[rows] @ self.q[i]).astype(np.int64)
+            self._keep(i, xid[rows], score)
+
+    def _keep(self, i: int, ids: np.ndarray, score: np.ndarray) -> None:
+        ids, score = np.concatenate([self.top[i][0], ids]), np.concatenate([self.top[i][1], score])
+        on = np.lexsort((ids, ~score))[: self.k]  # ~ falls as the score rises, without overflow
+        self.top[i] = ids[on], score[on]
+        if len(on) == self.k:
+            self.least[i] = float(score[on[-1]])
+
+    def hits(self) -> pa.RecordBatch:
+        n = [len(ids) for ids, _ in self.top]
+        ids, score = (np.concatenate([t[j] for t in self.top]) for j in (0, 1))
+        return to_batch(_HIT, qrow=np.repeat(self.qrow, n), query_id=np.repeat(self.qid, n), vec_id=ids, score=score)
+
+
+def _by_length(ids: pa.Array, vectors: pa.Array, *more: pa.Array) -> Iterator[tuple]:
+    """Ids, matrix (and further columns) of the vectors of each length."""
+    if isinstance(vectors, pa.ChunkedArray):
+        ids, vectors, *more = (c.combine_chunks() for c in (ids, vectors, *more))
+    n = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    values, off = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+    cols = [c.to_numpy(zero_copy_only=False) for c in (ids, *more)]
+    for dim in np.unique(n):
+        on = np.flatnonzero(n == dim)
+        yield int(dim), cols[0][on], values[off[on][:, None] + np.arange(dim)].reshape(len(on), dim).astype(float), *(c[on] for c in cols[1:])
+
+
+def _scan(searches: dict[int, _Search], ids: pa.Array, vectors: pa.Array) -> None:
+    for dim, xid, x in _by_length(ids, vectors):
+        for at in range(0, len(xid), ROW_BLOCK):
+            if dim in searches:
+                searches[dim].see(xid[at : at + ROW_BLOCK], x[at : at + ROW_BLOCK])
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int = K, levels: tuple[int, ...] = LEVELS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """queries, rows: (vec_id, v array<double> of whole numbers) -> query_id, rank, vec_id, score, exactly.
 
     Candidates of a query are the rows of the same length with another id (a
     repeated id is a row of its own to others and none to itself; a repeated
-    query row gives its own ranks). Both sides are packed into blocks; a task
-    compares one block of queries with one block of rows and returns k hits per
-    query, which a ranked window merges. Ties go to the smaller vec_id. Scores
-    beyond 2^53 are computed in whole numbers and kept within a long.
+    query row gives its own ranks). Ties go to the smaller vec_id. Scores beyond
+    2^53 are computed in whole numbers and kept within a long. Empty tables give
+    no rows; other columns are left out.
+
+    A task carries each query's k best from one block of rows to the next, and
+    returns them; a ranked window merges those of all tasks. Queries of at most
+    query_bytes, as measured, go to every task, and rows stay where they are.
+    More are cut into groups: each pair of a group and a part of the rows has a
+    key of its own and meets in one task.
     """
-    spark = queries.sparkSession
-    parts = max(1, math.ceil(plan_bytes(rows) / (1 << 22)))
-    q = saved(arrow_map(queries.repartition(max(1, parts // 64), "vec_id"), _blocks(QUERY_BLOCK), _BLOCK)).withColumn("block", F.monotonically_increasing_id())
-    q = q.select("dim", "block", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("comps").alias("qcomps"), F.col("wide").alias("qwide"))
-    x = arrow_map(rows, _blocks(ROW_BLOCK), _BLOCK)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    hits = q.join(x, "dim").mapInArrow(_search(k, levels), _HIT)
-    w = W.partitionBy("block", "qrow").orderBy(F.col("score").desc(), "vec_id")
+    own = saved(queries.select("vec_id", "v").withColumn("qrow", F.monotonically_increasing_id()))
+    size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v") * 8 + 24), F.lit(0)).alias("b")).first()
+    if size["b"] <= query_bytes:
+        t = own.toArrow()
+        held = queries.sparkSession.sparkContext.broadcast([(d, *x) for d, *x in _by_length(t.column("vec_id"), t.column("v"), t.column("qrow"))] if t.num_rows else [])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searches = {dim: _Search(qrow, qid, q, k, levels) for dim, qid, q, qrow in held.value}
+            for b in _stacked(batches):
+                _scan(searches, b.column("vec_id"), b.column("v"))
+            yield from (s.hits() for s in searches.values())
+
+        hits = arrow_map(rows.select("vec_id", "v"), run, _HIT)
+    else:
+        ship(queries.sparkSession)
+        groups = math.ceil(size["b"] / query_bytes)
+        total = rows.agg(F.coalesce(F.sum(F.size("v") * 8 + 24), F.lit(0)).alias("b")).first()["b"]
+        parts = max(1, math.ceil(total / PART_BYTES))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = own.withColumn("group", F.pmod(F.xxhash64("qrow"), F.lit(groups)).cast("int")).withColumn("part", every(parts))
+        x = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("part")).withColumn("group", every(groups))
+
+        def meet(key, q: pa.Table, x: pa.Table) -> pa.Table:
+            if not q.num_rows or not x.num_rows:
+                return to_table()
+            searches = {dim: _Search(qrow, qid, m, k, levels) for dim, qid, m, qrow in _by_length(q.column("vec_id"), q.column("v"), q.column("qrow"))}
+            _scan(searches, x.column("vec_id"), x.column("v"))
+            return pa.Table.from_batches([s.hits() for s in searches.values()])
+
+        def to_table() -> pa.Table:
+            return pa.Table.from_batches([to_batch(_HIT, qrow=[], query_id=[], vec_id=[], score=[])])
+
+        hits = q.groupBy("group", "part").cogroup(x.groupBy("group", "part")).applyInArrow(meet, _HIT)
+    w = W.partitionBy("qrow").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to some ROW_BLOCK rows: pruning pays per block."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= ROW_BLOCK:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def op1_topk(spark, sf_dir: str) -> DataFrame:
     v = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(v.where("vec_id % 50 = 0"), v)

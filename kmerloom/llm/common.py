@@ -299,7 +299,7 @@ def crc_mod(col: str, k: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(k)), F.lit(-1)).cast("int")
 
 
-def running_sum(df: DataFrame, key: list[str], order: list[str], value: str, out: str, salt: Column, salts: int) -> DataFrame:
+def running_sum(df: DataFrame, key: list[str], order: list[str], value: str, out: str, salt: Column, salts: int, nulls_last: bool = False) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same key before this one.
 
     Order: the salt (0..salts-1), then `order`. No task gets a whole key: rows
@@ -309,7 +309,7 @@ def running_sum(df: DataFrame, key: list[str], order: list[str], value: str, out
     from pyspark.sql import Window as W
 
     d = df.withColumn("_salt", salt)
-    w = W.partitionBy(*key, "_salt").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    w = W.partitionBy(*key, "_salt").orderBy(*(F.col(c).asc_nulls_last() if nulls_last else F.col(c) for c in order)).rowsBetween(W.unboundedPreceding, -1)
     part = d.groupBy(*key, "_salt").agg(F.sum(value).alias("_part"))
     before = part.withColumn("_offset", F.coalesce(F.sum("_part").over(W.partitionBy(*key).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     before = before.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("_salt").alias("_s"), "_offset")

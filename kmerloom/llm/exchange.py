@@ -195,7 +195,7 @@ def ask(sent: DataFrame, q: Question, parts: int, bits: int, direct: int = DIREC
     first = sent_bits(bits, direct)
     group = 1 << first
 
-    def up(key, t: pa.Table) -> pa.Table:
+    def up(key: tuple, t: pa.Table) -> pa.Table:
         known, load = q.merged(*q.parts(t))
         return q.sent(key[0].as_py() * group + key[1].as_py(), known, load, bits)
 

@@ -2,9 +2,11 @@
 
 A document is a mixture of languages; its words are drawn from them. The
 likelihood of a word under a language is the product of its byte trigrams'
-probabilities there. Expectation-maximisation estimates the proportions; of the
-sets of the 1, 2 and 3 likeliest languages the one with the highest penalised
-likelihood (BIC) is kept, and its likeliest language is the answer.
+probabilities there. Expectation-maximisation estimates the proportions of all
+learned languages; then the least of them go, step by step, with new estimates
+for the rest. Of the sets on the way, from all languages to one, that with the
+highest penalised likelihood (BIC) is kept, and its likeliest language is the
+answer.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from .common import LOWER, arrow_map, crc_mod, only, slices, text_bytes, to_batc
 BITS = 15
 #: Documents of a language that teach, at most (about): a hash of the id picks them.
 TRAIN_ROWS = 4_000
-ROUNDS = 6
-MOST_LANGS = 3
+#: Estimates stop when no proportion of a text moves further than this.
+MOVE = 1e-3
+#: Learned languages at most: a table of them is sent to every task.
+MOST_LANGS = 1_000
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
 _COUNTS = "lang string, counts binary"
@@ -68,16 +72,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield to_batch(_COUNTS, lang=[lang], counts=[c.astype(np.int64).tobytes()])
 
 
+def _add(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist())
+    return pa.table({"lang": t.column("lang").combine_chunks()[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities of the bins under each (one more bin for gaps, at 0)."""
     d = only(docs, doc_id="bigint", text="string", lang="string").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod("doc_id", 5) > 0))
-    sizes = sorted((r["lang"], r["count"]) for r in d.groupBy("lang").count().collect())
+    known = d.groupBy("lang").agg(F.count("*").alias("n"))
+    if known.count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    share = F.least(F.lit(1.0), F.lit(float(train_rows)) / F.col("n")) * (1 << 30)
+    sizes = sorted((r["lang"], r["n"]) for r in known.collect())
     if not sizes:
         return [], np.zeros(((1 << BITS) + 1, 0), np.float32)
-    share = F.create_map(*(x for lang, n in sizes for x in (F.lit(lang), F.lit(int((1 << 30) * min(1.0, train_rows / n))))))
-    part = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")))
+    part = d.join(F.broadcast(known), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     counts = {lang: np.zeros((1 << BITS) + 1) for lang, _ in sizes}
-    for r in arrow_map(part.select("text", "lang").repartition(8), _count, _COUNTS).collect():
+    for r in arrow_map(part.select("text", "lang").repartition(8), _count, _COUNTS).groupBy("lang").applyInArrow(_add, _COUNTS).toLocalIterator():
         counts[r["lang"]] += np.frombuffer(r["counts"], np.int64)
     langs = [lang for lang, _ in sizes]
     c = np.stack([counts[x] for x in langs], 1)
@@ -87,54 +99,80 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
     return langs, table.astype(np.float32)
 
 
+def _likelihoods(table: np.ndarray, bins: np.ndarray, starts: np.ndarray, words: int = 1 << 16) -> np.ndarray:
+    """Log likelihoods (word, language), some words at a time."""
+    out = [np.add.reduceat(table[bins[a : z]], starts[lo : lo + words] - a, axis=0) for lo in range(0, len(starts), words) for a, z in [(starts[lo], starts[lo + words] if lo + words < len(starts) else len(bins))]]
+    return np.concatenate(out)
+
+
 def _seg(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of the rows at[i]..at[i+1], none of them empty."""
     return np.add.reduceat(x, at[:-1], axis=0)
 
 
-def mixtures(words: np.ndarray, at: np.ndarray, rounds: int = ROUNDS, most: int = MOST_LANGS, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """words: log likelihoods (word, language) of texts with words at[i]..at[i+1] -> proportions, the chosen set, its size.
+def _estimate(a: np.ndarray, n: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """Expectation-maximisation from proportions pi until none of a text moves by more than MOVE; texts that stand still drop out."""
+    pi, on = pi.copy(), np.arange(len(n))
+    at = np.concatenate([[0], np.cumsum(n)])
+    while len(on):
+        r = a * np.repeat(pi[on], n, 0)
+        r /= np.maximum(r.sum(1), 1e-30)[:, None]
+        new = _seg(r, at) / n[:, None]
+        moves = np.abs(new - pi[on]).max(1) > MOVE
+        pi[on] = new
+        if not moves.all():
+            a, on, n = a[np.repeat(moves, n)], on[moves], n[moves]
+            at = np.concatenate([[0], np.cumsum(n)])
+    return pi
 
-    Proportions are of the chosen set, 0 elsewhere.
+
+def mixtures(words: np.ndarray, at: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words: log likelihoods (word, language) of texts with words at[i]..at[i+1] -> proportions of all languages, those of the chosen set (0 elsewhere), and its size.
+
+    Ties in proportions keep the earlier language.
     """
     n_docs, langs = len(at) - 1, words.shape[1]
     n = np.diff(at)
     top = words.max(1)
     a = np.exp(words - top[:, None])
-
-    def em(start: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
-        pi = start
-        for _ in range(times):
-            r = a * np.repeat(pi, n, 0)
-            r /= np.maximum(r.sum(1), 1e-30)[:, None]
-            pi = _seg(r, at) / n[:, None]
-        return pi, _seg(np.log(np.maximum((a * np.repeat(pi, n, 0)).sum(1), 1e-30)), at)
-
-    pi, _ = em(np.full((n_docs, langs), 1.0 / langs, a.dtype), rounds)
-    order = np.argsort(-pi, 1, kind="stable")
-    best, best_fit, size = None, None, np.ones(n_docs, np.int64)
-    for k in range(1, min(most, langs) + 1):
-        mask = np.zeros_like(pi)
-        np.put_along_axis(mask, order[:, :k], 1, 1)
-        start = pi * mask + 1e-6 * mask
+    mask = np.ones((n_docs, langs), bool)
+    pi = every = _estimate(a, n, np.full((n_docs, langs), 1.0 / langs, a.dtype))
+    best, best_fit, size = pi, np.full(n_docs, -np.inf), np.full(n_docs, langs)
+    live = np.arange(n_docs)
+    while len(live):
+        on = np.isin(np.arange(n_docs), live)
+        held = np.repeat(on, n)
+        p, k, m = pi[live], mask[live].sum(1), n[live]
+        cut = np.concatenate([[0], np.cumsum(m)])
+        fit = _seg(np.log(np.maximum((a[held] * np.repeat(p, m, 0)).sum(1), 1e-30)), cut) - penalty * 0.5 * (2 * k - 1) * np.log(np.maximum(m, 2))
+        better = live[fit >= best_fit[live]]
+        best = best.copy()
+        best[better], size[better] = pi[better], mask[better].sum(1)
+        best_fit[live] = np.maximum(fit, best_fit[live])
+        live = live[k > 1]
+        if not len(live):
+            break
+        # the least language goes, and with it all that have less than half a word
+        p = np.where(mask[live], pi[live], np.inf)
+        least = (langs - 1) - p[:, ::-1].argmin(1)
+        gone = mask[live] & (pi[live] * n[live][:, None] < 0.5)
+        gone[np.arange(len(live)), least] = True
+        gone[np.arange(len(live)), np.where(mask[live], pi[live], -1.0).argmax(1)] = False
+        mask[live] &= ~gone
+        start = pi[live] * mask[live] + 1e-6 * mask[live]
         start /= start.sum(1)[:, None]
-        p, fit_k = em(start, 0 if k == 1 else 3)
-        fit_k = fit_k - penalty * 0.5 * (2 * k - 1) * np.log(np.maximum(n, 2))
-        if best is None:
-            best, best_fit = p, fit_k
-        else:
-            better = fit_k > best_fit
-            best = np.where(better[:, None], p, best)
-            best_fit = np.where(better, fit_k, best_fit)
-            size = np.where(better, k, size)
-    return best, order, size
+        pi = pi.copy()
+        pi[live] = _estimate(a[np.repeat(np.isin(np.arange(n_docs), live), n)], n[live], start.astype(a.dtype))
+    return every, best, size
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs(doc_id, text) -> a row each: lang_pred, its proportion as score, and the chosen languages.
+    """docs(doc_id, text) -> a row each: lang_pred, its proportion among all learned languages as score, and the chosen languages.
 
     `und` with score 0 where the text is null or has no letter, or nothing was
-    learned. A null id counts as held out. Texts are taken whole.
+    learned. A null id counts as held out. Texts are taken whole. Ties go to the
+    language that sorts first. Repeated rows are judged one by one, alike. No
+    rows, no rows; extra columns are left out, whatever their names.
     """
     langs, table = model
     held = docs.sparkSession.sparkContext.broadcast(table)
@@ -156,14 +194,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             pred, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
             size, named = np.zeros(b.num_rows, np.int32), np.full(b.num_rows, "", object)
             if len(use):
-                words = np.add.reduceat(t[bins], starts, axis=0)
+                words = _likelihoods(t, bins, starts)
                 keep = np.repeat(np.isin(np.arange(b.num_rows), use), n)
-                pi, order, k = mixtures(words[keep], np.concatenate([[0], np.cumsum(n[use])]))
+                every, pi, k = mixtures(words[keep], np.concatenate([[0], np.cumsum(n[use])]))
                 top = pi.argmax(1)
                 pred[use] = np.array(langs, object)[top]
-                score[use] = np.minimum(pi[np.arange(len(use)), top], 1.0)
+                score[use] = np.minimum(every[np.arange(len(use)), top], 1.0)
                 size[use] = k
-                named[use] = [",".join(sorted(langs[j] for j in order[i, : k[i]])) for i in range(len(use))]
+                named[use] = [",".join(langs[j] for j in np.flatnonzero(row > 0)) for row in pi]
             yield to_batch(_PRED, doc_id=b.column("doc_id"), held_out=b.column("held_out"), lang_pred=pred.tolist(), score=score, n_langs=size, langs=named.tolist())
 
     d = only(docs, doc_id="bigint", text="string").withColumn("held_out", crc_mod("doc_id", 5) <= 0)

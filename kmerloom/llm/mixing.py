@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import WORD, running_sum, saved
 
@@ -48,19 +47,24 @@ def water_levels(sources: DataFrame, epochs: int, share: float) -> DataFrame:
     return sources.withColumn("target", F.least((F.col("weight") * F.lit(float(level))), cap.cast("double")))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, share: float = 1.0, seed: str = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, share: float = 1.0, seed: str = SEED, carry: str | None = None) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken.
 
     Sources in code point order, null last, weigh `weights`, repeating. A null
     text has size 0; a document of size 0 takes 0 words and, as all others of
     its source, `copies` copies. Repeated rows count and are taken one by one;
     rows equal in id, source and size are interchangeable. No rows: no rows.
+    Extra columns are left out, but for `carry`, which comes along as _carry.
     The table of sources has one row per distinct source and is joined, not
     collected; only three sums of it reach the driver.
     """
-    sized = saved(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size")))
+    more = [] if carry is None else [docs[carry].alias("_carry")]
+    sized = saved(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), word_count(docs["text"]).alias("size"), *more))
+    # sources are ranked within ranges of them, whose sizes give the ranks before
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
+    sources = saved(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()).withColumn("_one", F.lit(1)))
+    sources = running_sum(sources.withColumn("_all", F.lit(0)), ["_all"], ["source"], "_one", "_rank", F.col("_range"), 0, nulls_last=True)
+    rank = F.col("_rank")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
     sources = saved(sources.select("source", "source_size", weight.cast("bigint").alias("weight")))
     plan = water_levels(sources, epochs, share)
@@ -75,17 +79,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     d = d.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     once_more = F.col("_before") + F.col("size") / 2 < F.col("part_words")
     copies = (F.col("whole") + F.when(once_more & (F.col("whole") < epochs), 1).otherwise(0)).cast("bigint")
-    return d.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return d.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["_carry"] if carry else []))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each as often as it is taken, with the columns of docs."""
-    chosen = mix_sources(docs, **options).where("copies > 0")
-    chosen = chosen.groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"), F.min("copies").alias("_least"))
-    d = docs.withColumn("_doc", docs["doc_id"]).withColumn("_src", docs["source"])
-    c = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_copies")
-    d = d.join(c, F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_src").eqNullSafe(F.col("_s")))
-    return d.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)
+    """The documents of the mix: each row as often as mix_sources takes it, with the columns of docs, whatever their names.
+
+    Where ids repeat, rows get numbers of their own first, so that each of them
+    is taken as planned. Null texts, ids and sources take part; an empty table
+    stays empty.
+    """
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        chosen = mix_sources(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("copies").alias("_copies"))
+        d = docs.select(docs["doc_id"].cast("bigint").alias("_key"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+        taken = d.join(chosen, F.col("_key").eqNullSafe(F.col("_d")))
+    else:
+        d = saved(docs.select(F.monotonically_increasing_id().alias("_key"), F.struct(*(docs[c] for c in docs.columns)).alias("_row")))
+        chosen = mix_sources(d.select("_key", "_row.doc_id", "_row.text", "_row.source"), carry="_key", **options).where("copies > 0")
+        taken = d.join(chosen.select(F.col("_carry").alias("_key"), F.col("copies").alias("_copies")), "_key")
+    return taken.select("_row", times).select("_row.*")
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

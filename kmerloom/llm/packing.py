@@ -143,6 +143,11 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
     return [(p, v) for p, v in zip(basis, x.tolist(), strict=True) if v > 1e-9]
 
 
+def least_sequences(histogram: dict[int, int], room: int) -> int:
+    """Sequences that no plan can do without: the total size, and a sequence for each item of more than half."""
+    return max(-(-sum(s * n for s, n in histogram.items()) // room), sum(n for s, n in histogram.items() if 2 * s > room))
+
+
 def plan_sequences(histogram: dict[int, int], room: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
     """histogram: items by size in units -> per size (first slot, sequences' base, slots per sequence) of its runs of slots, and the number of sequences."""
     runs: dict[int, list[tuple[int, int, int]]] = {}
@@ -204,7 +209,9 @@ def pack(docs: DataFrame, length: int = LENGTH, unit: int = UNIT, tokenizer: str
     """docs(doc_id, text) -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is empty: its one piece is the end id. Repeated rows are packed
-    one by one. The histogram (length / unit numbers) is all that reaches the
+    one by one; a null id is an id like others. Items of one size are
+    interchangeable: ties go by id, start and checksum. No rows, no rows; extra
+    columns are left out, whatever their names. The histogram (length / unit numbers) is all that reaches the
     driver; the plan sent back has a few runs per size. Ranks within a size are
     prefix sums over salts, so a size that a third of all pieces share is no
     single task's work.

@@ -186,13 +186,16 @@ def apply_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     Rows with a null label or id don't teach; an id labelled more than once
     counts with its lowest label; without labels the list is empty and keeps
     all. A repeated document is judged row by row. Empty texts fail the base
-    rule on the number of words.
+    rule on the number of words. No rows, no rows; extra columns are left out,
+    whatever their names.
     """
     stats = saved(text_statistics(docs))
     known = only(labels, doc_id="bigint", quality="int").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, train_rows / max(n, 1))))
-    rows = stats.join(part, "doc_id").select("doc_id", "quality", *(ratio(f).alias(f) for f in RATIOS)).orderBy(F.xxhash64("doc_id", F.lit(7)), *RATIOS).toPandas()
+    # an id that documents share teaches once, by its least statistics
+    rows = stats.join(part, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*(ratio(f).alias(f) for f in RATIOS))).alias("x"))
+    rows = rows.select("doc_id", "quality", "x.*").orderBy(F.xxhash64("doc_id", F.lit(7))).toPandas()
     bad = (rows["quality"] == 0).to_numpy()
     rules = learn_list({f: rows[f].to_numpy() for f in RATIOS}, bad)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

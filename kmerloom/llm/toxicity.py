@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, arrow_map, crc_mod, mix, only, ship, slices, sums_by, to_batch
+from .common import U64, Words, arrow_map, crc_mod, mix, only, ship, slices, sums_by, text_size, to_batch
 
 #: Labelled rows that teach, at most (about): toxic ones first, up to TOXIC_ROWS, then clean ones; a hash of the id picks them.
 TRAIN_ROWS = 12_000
 TOXIC_ROWS = 4_000
+#: Bytes of text that teach, at most (about): beyond, a hash of the id picks fewer rows.
+TRAIN_BYTES = 256 << 20
 BITS = 18
 #: Bytes of the prefixes that count beside the whole word; a shorter word has none (bin 1 << BITS, without weight).
 PREFIXES = (5, 6, 7)
@@ -149,7 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, toxic_
     limit = F.when(F.col("toxic") == 1, int((1 << 30) * share[1])).otherwise(int((1 << 30) * share[0]))
     part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
     # part has about train_rows ids at most, whatever the input: it may be broadcast
-    rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(part), "doc_id").select("toxic", "text")
+    # an id that documents share teaches one text, the first in order
+    rows = only(docs, doc_id="bigint", text="string").where("text is not null").join(F.broadcast(part), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    size = text_size(rows)
+    if size > TRAIN_BYTES:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * TRAIN_BYTES / size))
+    rows = rows.select("toxic", "text")
     # a part at a time, so that the JVM of the driver never holds them all
     rows = arrow_map(rows, _bags, _BAGS).repartition(16).toLocalIterator()
     found = sorted((int(r["toxic"]), bytes(r["bins"]), bytes(r["breaks"])) for r in rows)
@@ -175,6 +182,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """docs(doc_id, text) -> a row each with its score and its worst sentence (byte range in the text).
 
     A null or empty text has no sentence: score 0. A null id counts as held out.
+    Of equally bad sentences the first is the worst. Repeated rows are scored one
+    by one, alike. No rows, no rows; extra columns are left out, whatever their
+    names.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -199,7 +209,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """The rows of docs, all columns, whose score is below 0.5."""
+    """The rows of docs, all columns, whatever their names, whose score is below 0.5.
+
+    Null and empty texts score 0 and stay; repeated rows fare alike; an empty
+    table stays empty. Without a model that learned from both classes all stay.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

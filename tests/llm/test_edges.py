@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm import langid, licences, lm, mixing, near_dups, packing, quality, search, substrings, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, n_words long, size long, rank int, class_id long, cls string, start string, label string, key string, a int, score double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, n_words long, n_removed long, kept_text string, rest int, copies int, node long, size long, rank int, class_id long, cls string, start string, label string, key string, a int, score double"
 PROSE = "the quick brown fox jumps over the lazy dog and runs through the old green forest near a small river today"
 
 
@@ -13,7 +13,7 @@ def rows():
     texts = [None, "", "  \n\t ", PROSE, PROSE, PROSE + " again", "a b", "x", "über straße naïve ☃ " * 20, "1234 5678", ("word%d " * 7 % tuple(range(7))) * 3000, " ".join(f"w{i}" for i in range(30_000)), "General Public License. All rights reserved cc by", "1 <|endoftext|> 2\n\n  end "]
     out = [(i, t, ["en", "de", None][i % 3], ["s1", None, "s2"][i % 3], len(t or "")) for i, t in enumerate(texts)]
     out += [out[3], (None, PROSE, "en", "s1", 3), (None, None, None, None, None)]
-    return [(*r, 7, 7, 7, 7, 7, "c", "s", "l", "k", 1, 0.5) for r in out]
+    return [(*r, 7, 7, 7, "kept", 7, 7, 7, 7, 7, 7, "c", "s", "l", "k", 1, 0.5) for r in out]
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +84,33 @@ def test_results(docs, labels):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_pipeline_stages_on_edges(spark, docs, labels, tmp_path):
+    """Nulls, ties, repeated rows and clashing names in each stage that returns documents; empty tables stay empty."""
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    extra = [c for c in docs.columns if c not in ("text", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+        known = {tuple(r) for r in docs.select(*extra).collect()}
+        rows = [tuple(r) for r in out.select(*extra).collect()]
+        assert set(rows) <= known and rows, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    cut = corpus_pipeline.cut_repeats(spark, docs, str(tmp_path)).collect()
+    assert len(cut) == docs.count() and all(r["chunk"] == 7 and r["n_words"] == 7 and r["n_removed"] == 7 and r["kept_text"] == "kept" for r in cut)
+    whole = {r["doc_id"]: r for r in docs.collect()}
+    assert all(r["n_chars"] == whole[r["doc_id"]]["n_chars"] for r in cut if r["text"] == whole[r["doc_id"]]["text"])
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_search_extra_columns(spark):
+    v = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, "x") for i in range(60)], "vec_id long, embedding array<double>, rank int, qrow int, v string")
+    q = search.quantised(v)
+    assert search.top_k(q.where("vec_id % 50 = 0"), q).columns == ["query_id", "rank", "vec_id", "score"]
+    assert search.top_k(q.where("vec_id % 50 = 0"), q).count() == 10
+
+
 def test_search_edges(spark):
     nan, inf = float("nan"), float("inf")
     v = spark.createDataFrame([(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [0.25, nan]), (3, None), (4, [None, 1.0]), (5, [inf, 1.0]), (6, [0.0, 0.0]), (7, [1.0]), (8, []), (50, [-1.0, 2.0]), (50, [2.0, 2.0]), (None, [1.0, 1.0]), (100, []), (9, [3e30, 3e30])], "vec_id long, embedding array<double>")

@@ -8,37 +8,53 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kmerloom.llm import common, mixing, near_dups, packing, substrings, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, trained on the labelled ones, scores below 0.5."""
+    """Documents that the toxicity model, trained on the labelled ones, scores below 0.5.
+
+    Null and empty texts stay, repeated rows fare alike, an empty table stays
+    empty, and extra columns may have any names.
+    """
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, by the smallest id; ties and repeated ids as without_near_duplicates says.
+
+    Rows with a null id or without words stay, an empty table stays empty, and
+    extra columns may have any names.
+    """
     return near_dups.without_near_duplicates(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 13 words or more that a document with a smaller id also has."""
-    cut = substrings.remove_repeats(docs, with_text=True).withColumnRenamed("kept_text", "text")
-    if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        cut = cut.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    """All documents, without the passages of 13 words or more that a document with a smaller id also has.
+
+    Null texts stay null, a null id is larger than any other, repeated rows fare
+    alike, an empty table stays empty, and extra columns may have any names.
+    """
+    return substrings.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them.
+
+    Null texts have no words, null sources are one that sorts last, repeated
+    rows are taken one by one, an empty table stays empty, and extra columns may
+    have any names.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents of the mix, in sequences of at most 1024 tokens."""
+    """The pieces of all documents of the mix, in sequences of at most 1024 tokens.
+
+    A null text is the end id alone, repeated rows are packed one by one, an
+    empty table has no pieces, and extra columns are left out.
+    """
     return packing.pack(docs)
 
 

@@ -413,9 +413,14 @@ def test_training_lowers_the_loss():
 
 def test_large_scores_stay_finite():
     s = lm.train([np.arange(8)] * 30, 9, 8, steps=0)
-    s.qkv, s.logits = s.qkv * 1e4, s.logits + np.float32(500)
-    out = s.log_probs(np.tile(np.arange(8), (2, 8)), np.tile(np.arange(8), (2, 8)))
-    assert np.isfinite(out).all()
+    seen = np.tile(np.arange(8), (2, 8))
+    want = s.log_probs(seen, seen)
+    for shift in (500, -500):  # a constant for all choices changes nothing
+        s.of_group = (s.of_group[0] + np.float32(shift), *s.of_group[1:])
+        assert s.log_probs(seen, seen) == pytest.approx(want, abs=1e-3)
+        s.of_group = (s.of_group[0] - np.float32(shift), *s.of_group[1:])
+    s.qkv = s.qkv * 1e4
+    assert np.isfinite(s.log_probs(seen, seen)).all()
 
 
 def test_language_model_counts_all_training_ids(spark, sf, docs):

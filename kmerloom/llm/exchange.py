@@ -31,8 +31,8 @@ from .common import U64, only, ship, text_size
 #: Bytes of text of a partition, chunks a partition, and bytes of text whose hashes a bucket holds.
 PART_BYTES = 8 << 20
 CHUNKS = 2
-BUCKET_BYTES = 32 << 20
-LEAST_BITS = 5
+BUCKET_BYTES = 16 << 20
+LEAST_BITS = 4
 #: Tasks of a stage at most: beyond, a task works at more chunks or buckets, one after another.
 MOST_TASKS = 20_000
 #: Bits of the bucket number up to which chunks send to buckets directly.

@@ -54,7 +54,7 @@ def trigrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     code = (before * np.uint32(0x9E3779B1) ^ x * np.uint32(0x85EBCA6B)) + after * np.uint32(0xC2B2AE35)
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x2C1B3C6D)
-    bins = (code >> np.uint32(32 - BITS)).astype(np.int64)
+    bins = (code >> np.uint32(32 - BITS)).astype(np.int32)
     bins[~inside] = 1 << BITS
     first = inside & (before == 32)
     starts = np.flatnonzero(first)

@@ -31,6 +31,7 @@ WINDOW, BLOCK = 13, 7
 PROBE_BITS = 32
 _OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _LAST = (1 << 63) - 1
+_WHITE = [bytes([c]) for c in (0x20, *range(0x09, 0x0E))]
 
 
 def _probes(bits: int) -> Question:
@@ -182,6 +183,27 @@ def cut_out(text: bytes, gone: np.ndarray) -> bytes:
     return np.frombuffer(text, np.uint8)[np.cumsum(edge[:-1]) == 0].tobytes()
 
 
+def _sha256(text: bytes, keep: np.ndarray, size: int = 1 << 20) -> str:
+    """Of the words to keep, joined by a space, worked at `size` bytes at a time."""
+    sha, at, first, gap = hashlib.sha256(), 0, 0, b""
+    while at < len(text):
+        to = at + size
+        if to < len(text):  # not inside a word
+            to = max(text.rfind(s, at, to) for s in _WHITE)
+            if to < 0:
+                to = min((x for s in _WHITE if (x := text.find(s, at + size)) >= 0), default=len(text))
+            to += 1
+        words = text[at:to].split()
+        part = keep[first : first + len(words)]
+        if not part.all():
+            words = [words[j] for j in np.flatnonzero(part).tolist()]
+        if words:
+            sha.update(gap + b" ".join(words))
+            gap = b" "
+        at, first = to, first + len(part)
+    return sha.hexdigest()
+
+
 def _finish(window: int, with_text: bool, schema: pa.Schema):
     def run(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -192,22 +214,17 @@ def _finish(window: int, with_text: bool, schema: pa.Schema):
         earlier = [unplanes(r) for r in answers.column("answer").to_pylist()] if answers.num_rows else []
         gone = _removed(c, np.sort(np.concatenate(earlier)) if earlier else np.zeros(0, U64), window)
         data, off = text_bytes(c.col)
-        raw, n = data.tobytes(), len(c.count)
+        n = len(c.count)
         removed = np.zeros(n, np.int64)
         shas, kept = [], []
         for i in range(n):
-            text = raw[off[i] : off[i + 1]]
-            words = text.split()
+            text = data[off[i] : off[i + 1]].tobytes()
             g = gone[c.at[i] : c.at[i + 1]]
             removed[i] = g.sum()
-            if removed[i]:
-                words = [words[j] for j in np.flatnonzero(~g).tolist()]
-                if with_text:
-                    text = cut_out(text, g)
             if with_text:
-                kept.append(text)
+                kept.append(cut_out(text, g) if removed[i] else text)
             else:
-                shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                shas.append(_sha256(text, ~g))
         out = {"doc_id": texts.column("doc_id"), "n_words": pa.array(c.count, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
         if with_text:
             null = texts.column("text").is_null().to_pylist()

@@ -16,6 +16,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -24,6 +25,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Pieces a worker remembers at most, twice over, and the longest of them.
 CACHE = 250_000
 LONG = 64
+#: Characters of a text that are encoded at a time.
+PART = 1 << 20
 _TWO = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<!\s) (?!\s)")
 #: Fixed value: the pre-tokeniser's pattern of byte-level BPE.
@@ -89,6 +92,22 @@ class Encoder:
         return [array("I", merge(t)).tobytes() for t in texts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; a long one is cut before single spaces, like its pieces, and encoded part by part."""
+        if all(len(t) <= PART for t in texts):
+            return self._ids(texts)
+        return [b"".join(self._ids([x])[0] for x in self._parts(t)) for t in texts]
+
+    def _parts(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > PART and not any(s in text for s in self.special):
+            m = _SINGLE.search(text, at + PART)
+            if m is None:
+                break
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         cut, whole = [], {}
         for i, t in enumerate(texts):
             if any(s in t for s in self.special):

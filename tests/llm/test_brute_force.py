@@ -139,6 +139,22 @@ def test_pieces_give_the_tokenizer_s_ids():
     same()
 
 
+def test_long_texts_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["a", "it's", "Zü", "12", "…", "漢字", "longerword", "\n", "  "]
+    text = " ".join(words[i] for i in rng.integers(0, len(words), 3_000))
+    enc = subwords.shared_encoder()
+    want = enc.ids([text])[0]
+    monkeypatch.setattr(subwords, "PART", 50)
+    assert enc.ids([text, "", "short"]) == [want, enc._ids([""])[0], enc._ids(["short"])[0]]
+    raw = text.encode() + b"x" * 300 + b"\t\x0b end "
+    found = raw.split()
+    for keep in (np.ones(len(found), bool), np.zeros(len(found), bool), rng.random(len(found)) < 0.5):
+        kept = b" ".join(w for w, k in zip(found, keep, strict=True) if k)
+        for size in (1, 7, 64, 1 << 20):
+            assert substrings._sha256(raw, keep, size) == hashlib.sha256(kept).hexdigest()
+
+
 def test_language_on_held_out(spark, sf, docs):
     rows = [r for r in queries.QUERIES["op5_language"](spark, sf).collect() if r.held_out]
     assert {r.doc_id for r in rows} == {i for i in docs if zlib.crc32(str(i).encode()) % 5 == 0}

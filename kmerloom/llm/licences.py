@@ -258,3 +258,18 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
 
 def op8_licences(spark, sf_dir: str) -> DataFrame:
     return scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def licence_base(spark, sf_dir: str) -> DataFrame:
+    """The phrase counts of op8_licences, which SQL can express."""
+    return op8_licences(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+LICENCE_BASE_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT * FROM (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) t(words, label)),
+h AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: list_slice(w, i + 1, i + len(words)) = words)) AS k FROM d, p),
+a AS (SELECT doc_id, count(*) AS n, min(k) AS x, max(k) AS y, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(x AS BIGINT) AS first_word, CAST(y AS BIGINT) AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN a USING (doc_id)
+"""

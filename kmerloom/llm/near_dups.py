@@ -362,3 +362,18 @@ def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def op9_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs of texts that share a shingle, by the definition; classes by the smallest id that reaches a document.
+OP9_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END AS s FROM d),
+s AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(s) AS x FROM g)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 9 * c >= 4 * (a.n + b.n)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(doc_id, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.least FROM r JOIN l ON l.x = r.doc_id WHERE r.least < l.y)
+SELECT doc_id, min(least) AS class_id FROM r GROUP BY doc_id
+"""

@@ -15,10 +15,18 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_near_duplicates": near_dups.op9_near_duplicates,
     "op10_lm": lm.op10_lm,
+    # what SQL can express of three of them
+    "quality_base": quality.quality_base,
+    "licence_base": licences.licence_base,
+    "lm_base": lm.lm_base,
 }
 
 ORACLES = {
     "op1_topk": search.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op6_substrings": substrings.OP6_SQL,
+    "op9_near_duplicates": near_dups.OP9_SQL,
+    "quality_base": quality.QUALITY_BASE_SQL,
+    "licence_base": licences.LICENCE_BASE_SQL,
+    "lm_base": lm.LM_BASE_SQL,
 }

@@ -122,9 +122,10 @@ class Encoder:
         wanted: set[str] = set()
         for c in cut:
             wanted.update(c[1:])
-        wanted.difference_update(self.new)
         missing = []
         for p in wanted:
+            if p in self.new:
+                continue
             ids = self.old.get(p)
             if ids is None:
                 missing.append(p)

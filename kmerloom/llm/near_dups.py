@@ -12,8 +12,8 @@ candidates, and every pair of candidates is either compared exactly or known to
 be in one class already. First each band's texts are compared with one of them,
 the one with most company (the original, where copies have one), which costs as
 many comparisons as there are texts. Bands whose other texts are then still of
-different classes go on, with another pivot, and at last all pairs of what is
-left of a band are compared, in blocks of bounded size. Bands with the same
+different classes go on, with another pivot if some are large, and at last all
+pairs of what is left of a band are compared, in blocks of bounded size. Bands with the same
 texts are one.
 """
 
@@ -262,7 +262,7 @@ def _bands_once(live: DataFrame) -> DataFrame:
     return bands.groupBy("n", "s", "least").agg(F.min("key").alias("key")).select("key", "n")
 
 
-def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS, rows: int = ROWS, num: int = NUM, den: int = DEN, pivots: int = PIVOTS, heavy: int = HEAVY) -> DataFrame:
+def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS, rows: int = ROWS, num: int = NUM, den: int = DEN, pivots: int = PIVOTS, block: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id (the smallest id of its class), one row per input row.
 
     Two texts are linked when the Jaccard similarity of their 5-word shingles
@@ -275,8 +275,9 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
 
     Cost: linear, but for bands whose texts are alike without being near any of
     the `pivots` texts of the band that all others are compared with: their
-    pairs are compared block by block (BLOCK texts a side). A task holds two
-    blocks and emits at most one link per text.
+    pairs are compared block by block (`block` texts a side). A task holds two
+    blocks and emits at most one link per text. Where no band has more texts
+    than a block, no pivots are needed.
     """
     counts = weights == "count"
     d = only(docs, doc_id="bigint", text="string")
@@ -298,7 +299,8 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
     sets = saved(arrow_map(some, _sets(counts), _SETS).join(ids.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "shingles"))
     links, labels = None, None
     for _ in range(pivots):
-        if live.isEmpty():
+        # bands that fit into one block are compared there, all pairs of them
+        if (live.agg(F.max("n")).first()[0] or 0) <= block:
             break
         # of a band's texts the one with most company; the smallest node on ties
         company = live.groupBy("node").agg(F.sum("n").alias("company"))
@@ -319,7 +321,7 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
         left = live.join(split, "key", "left_semi")
         live = of(left.select("node", "key"), _bands_once(left.select("node", "key")))
     if not live.isEmpty():
-        count = F.ceil(F.col("n") / BLOCK).cast("int")
+        count = F.ceil(F.col("n") / block).cast("int")
         spot = live.select("node", "key", count.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         spot = spot.select("node", "key", "block", other.alias("other")).select("node", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))

@@ -291,7 +291,7 @@ def test_groups_without_a_centre_and_hot_bands(spark):
     texts |= {200 + i: texts[5] for i in range(30)}
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     want = classes({i: split(t) for i, t in texts.items()})
-    for options in ({}, {"pivots": 0}, {"pivots": 1, "heavy": 3}):
+    for options in ({}, {"pivots": 0, "block": 7}, {"pivots": 1, "block": 5, "heavy": 3}, {"pivots": 3, "block": 2}):
         assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(d, **options).collect()} == want
 
 
@@ -307,7 +307,8 @@ def test_rows_of_one_id_have_the_class_of_their_text(spark):
 def test_multisets_are_compared_by_weight(spark, sf, docs):
     want = classes({i: split(d.text) for i, d in docs.items()}, counts=True)
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(d, weights="count").collect()} == want
+    for block in (256, 2):
+        assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(d, weights="count", block=block).collect()} == want
 
 
 def test_linked_is_exact():

@@ -12,8 +12,8 @@ candidates, and every pair of candidates is either compared exactly or known to
 be in one class already. First each band's texts are compared with one of them,
 the one with most company (the original, where copies have one), which costs as
 many comparisons as there are texts. Bands whose other texts are then still of
-different classes go on, with another pivot if some are large, and at last all
-pairs of what is left of a band are compared, in blocks of bounded size. Bands with the same
+different classes go on, with another pivot, and at last all pairs of what is
+left of a band are compared, in blocks of bounded size. Bands with the same
 texts are one.
 """
 
@@ -276,8 +276,7 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
     Cost: linear, but for bands whose texts are alike without being near any of
     the `pivots` texts of the band that all others are compared with: their
     pairs are compared block by block (`block` texts a side). A task holds two
-    blocks and emits at most one link per text. Where no band has more texts
-    than a block, no pivots are needed.
+    blocks and emits at most one link per text.
     """
     counts = weights == "count"
     d = only(docs, doc_id="bigint", text="string")
@@ -299,8 +298,7 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
     sets = saved(arrow_map(some, _sets(counts), _SETS).join(ids.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "shingles"))
     links, labels = None, None
     for _ in range(pivots):
-        # bands that fit into one block are compared there, all pairs of them
-        if (live.agg(F.max("n")).first()[0] or 0) <= block:
+        if live.isEmpty():
             break
         # of a band's texts the one with most company; the smallest node on ties
         company = live.groupBy("node").agg(F.sum("n").alias("company"))

@@ -322,17 +322,17 @@ def kernel_all_distances(spark, sf_dir):
     return k.select("i", "j", F.round("k", 6).alias("k"))
 
 
-@query(f"WITH k AS ({_kernel_sql(Params(**PAIR))}), b AS (SELECT i, j, k FROM k UNION ALL SELECT j, i, k FROM k WHERE i <> j) SELECT i, round(sum(k * CASE WHEN j % 2 = 0 THEN 0.5 ELSE -0.5 END), 4) + 0.0 AS score FROM b GROUP BY i")
+@query(f"WITH k AS ({_kernel_sql(Params(**PAIR))}), b AS (SELECT i, j, k FROM k UNION ALL SELECT j, i, k FROM k WHERE i <> j) SELECT i, round(sum(k * CASE WHEN j % 2 = 0 THEN 0.5 ELSE -0.5 END), 8) + 0.0 AS score FROM b GROUP BY i")
 def pairwise_scores(spark, sf_dir):
     """Scores from kernel rows and weights."""
     s = scoring.kernel_scores(kernels.full_matrix(QUERIES["kernel_t1"](spark, sf_dir)), item_alphas(spark, sf_dir))
-    return s.select("i", (F.round("score", 4) + 0.0).alias("score"))
+    return s.select("i", (F.round("score", 8) + 0.0).alias("score"))
 
 
-@query(f"WITH k AS ({_kernel_sql(Params(**PAIR))}), b AS (SELECT i, j, k FROM k UNION ALL SELECT j, i, k FROM k WHERE i <> j), a AS (SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN 0.5 ELSE -0.5 END AS alpha FROM benchmark) SELECT round((SELECT sum(abs(alpha)) FROM a) - sum(x.alpha * y.alpha * k) / 2, 4) AS objective FROM b JOIN a x ON x.id = i JOIN a y ON y.id = j")
+@query(f"WITH k AS ({_kernel_sql(Params(**PAIR))}), b AS (SELECT i, j, k FROM k UNION ALL SELECT j, i, k FROM k WHERE i <> j), a AS (SELECT item_id AS id, CASE WHEN item_id % 2 = 0 THEN 0.5 ELSE -0.5 END AS alpha FROM benchmark) SELECT round((SELECT sum(abs(alpha)) FROM a) - sum(x.alpha * y.alpha * k) / 2, 8) AS objective FROM b JOIN a x ON x.id = i JOIN a y ON y.id = j")
 def dual_objective(spark, sf_dir):
     o = svm.objective(kernels.full_matrix(QUERIES["kernel_t1"](spark, sf_dir)), item_alphas(spark, sf_dir))
-    return o.select(F.round("objective", 4).alias("objective"))
+    return o.select(F.round("objective", 8).alias("objective"))
 
 
 # --- estimates ----------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 Byte-level pre-tokenisers never join text across a single white-space
 character, but for a space, which opens the next piece. So a text is cut before
 every space and line end that has no other white space beside it, equal pieces
-are encoded once, and the ids of the text are those of its pieces in order.
+are looked up once, and the ids of the text are those of its pieces in order.
 Texts that hold a special token's string are encoded whole by the tokenizers
 library. Pieces are merged by tiktoken with the vocabulary of the same file,
 several times faster; where the file isn't a byte-level BPE whose ids are its
@@ -14,21 +14,28 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
-from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+
+from .common import PIECE, text_bytes
 
 #: The tokenizer file of the queries, by its name in public_tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces a worker remembers at most, twice over, and the longest of them.
 CACHE = 250_000
 LONG = 64
-#: Characters of a text that are encoded at a time.
-PART = 1 << 20
-_TWO = re.compile(r"\s\s")
-_SINGLE = re.compile(r"(?<!\s) (?!\s)")
+#: Bytes of text whose pieces are looked up at a time (a longer piece alone).
+PART = 1 << 22
+#: Bytes that a text may be cut before, and those of white space.
+_CUT, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
+_CUT[[0x0A, 0x20]] = True
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+#: White space of two and of three bytes in UTF-8.
+_BLANK_2 = [0xC285, 0xC2A0]
+_BLANK_3 = [int.from_bytes(chr(c).encode()) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 #: Fixed value: the pre-tokeniser's pattern of byte-level BPE.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -50,7 +57,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 def _merger(path: str, special: set[str]):
-    """A function from a piece to its ids, or None where the file doesn't fit."""
+    """Functions from a text, and from one piece of the pre-tokeniser's, to its ids, or None where the file doesn't fit."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     kind = spec.get("pre_tokenizer") or {}
@@ -66,80 +73,122 @@ def _merger(path: str, special: set[str]):
         import tiktoken
     except ImportError:
         return None
-    return tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    coder = tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+    return coder.encode_ordinary, coder.encode_single_piece
 
 
 class Encoder:
-    """ids(texts) -> for each text its ids as little-endian uint32 bytes."""
+    """Texts -> the ids of the tokenizer's file, as little-endian uint32."""
 
     def __init__(self, path: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path(path))
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.merge = _merger(tokenizer_path(path), set(self.special))
-        self.new: dict[str, bytes] = {}  # pieces that follow a space (left out), or begin with a line end
-        self.old: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.merge, self.letters = _merger(tokenizer_path(path), {s.decode() for s in self.special}) or (None, None)
+        self.new: dict[bytes, bytes] = {}  # pieces and their ids
+        self.old: dict[bytes, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
         if self.merge is None:
-            return self._whole(texts)
-        merge = self.merge
-        return [array("I", merge(t)).tobytes() for t in texts]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; a long one is cut before single spaces, like its pieces, and encoded part by part."""
-        if all(len(t) <= PART for t in texts):
-            return self._ids(texts)
-        return [b"".join(self._ids([x])[0] for x in self._parts(t)) for t in texts]
-
-    def _parts(self, text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > PART and not any(s in text for s in self.special):
-            m = _SINGLE.search(text, at + PART)
-            if m is None:
-                break
-            yield text[at : m.start()]
-            at = m.start()
-        yield text[at:]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        cut, whole = [], {}
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):
-                whole[i] = self._whole([t])[0]
-                cut.append([""])
-            elif _TWO.search(t):
-                cut.append(_SINGLE.split(t))
-            else:
-                cut.append(t.replace("\n", " \n").split(" "))
+            return self._whole([p.decode(errors="replace") for p in pieces])
+        merge, letters = self.merge, self.letters
+        # letters after one space at most are one piece of the pre-tokeniser's
+        ids = [letters(p) if p.isalpha() or (p[:1] == b" " and p[1:].isalpha()) else merge(p.decode(errors="replace")) for p in pieces]
+        raw, to = array("I", chain.from_iterable(ids)).tobytes(), [4 * x for x in accumulate(map(len, ids), initial=0)]
+        return [raw[a:b] for a, b in pairwise(to)]
+
+    def _codes(self, pieces: list[bytes], odd: bool) -> list[bytes]:
+        """The ids of distinct pieces. odd: some may hold a special token's string."""
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
-        wanted: set[str] = set()
-        for c in cut:
-            wanted.update(c[1:])
-        missing = []
+        out = list(map(self.new.get, pieces))
+        at = [i for i, x in enumerate(out) if x is None]
+        wanted = [pieces[i] for i in at]
+        found = list(map(self.old.get, wanted))
+        if odd:
+            found = [self._whole([p.decode(errors="replace")])[0] if any(s in p for s in self.special) else x for p, x in zip(wanted, found, strict=True)]
+        missing = [j for j, x in enumerate(found) if x is None]
+        for j, ids in zip(missing, self._encode([wanted[j] for j in missing]), strict=True):
+            found[j] = ids
+        for i, ids in zip(at, found, strict=True):
+            out[i] = ids
+        self.new.update(zip(wanted, found, strict=True))
         for p in wanted:
-            if p in self.new:
-                continue
-            ids = self.old.get(p)
-            if ids is None:
-                missing.append(p)
-            else:
-                self.new[p] = ids
-        self.new.update(zip(missing, self._pieces([p if p[:1] == "\n" else " " + p for p in missing]), strict=True))
-        heads = self._pieces([c[0] for c in cut])
-        get = self.new.__getitem__
-        out = [whole[i] if i in whole else heads[i] + b"".join(map(get, c[1:])) for i, c in enumerate(cut)]
-        for p in missing:
             if len(p) > LONG:
                 del self.new[p]
         return out
 
+    def _starts(self, data: np.ndarray, off: np.ndarray, odd: bool) -> np.ndarray:
+        """Where pieces begin: texts that aren't empty, and white space that may be cut at, but in texts with a special token's string."""
+        cut = [off[:-1][np.diff(off) > 0]]
+        for at in range(0, len(data), PART):
+            i = np.flatnonzero(_CUT[data[at : at + PART]]) + at
+            i = i[(i > 0) & (i < len(data) - 1)]
+            i = i[~(_BLANK[data[i - 1]] | _BLANK[data[i + 1]])]
+            for far, near in ((-3, -1), (1, 3)):  # characters of several bytes before and after
+                wide = data[i + (-1 if far < 0 else 1)] >= 0x80
+                if wide.any():
+                    j = i[wide]
+                    x, y, z = (data[np.clip(j + k, 0, len(data) - 1)].astype(np.int64) for k in range(far, near + 1))
+                    two = (y << 8 | z) if far < 0 else (x << 8 | y)
+                    keep = np.ones(len(i), bool)
+                    keep[wide] = ~(np.isin(two, _BLANK_2) | np.isin(x << 16 | y << 8 | z, _BLANK_3))
+                    i = i[keep]
+            cut.append(i)
+        start = np.sort(np.concatenate(cut))
+        start = start[np.append(True, start[1:] != start[:-1])] if len(start) else start
+        if odd:
+            raw = data.tobytes()
+            bad = np.array([any(s in raw[a:b] for s in self.special) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+            text = np.searchsorted(off, start, "right") - 1
+            start = start[~bad[text] | (start == off[text])]
+        return start
+
+    def arrays(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has; null is empty.
+
+        Equal pieces of some PART bytes are looked up once.
+        """
+        data, off = text_bytes(col)
+        view = memoryview(data)
+        odd = any(_holds(view, s) for s in self.special)
+        start = self._starts(data, off, odd)
+        ids, sizes, lo = [], [], 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(start, start[lo] + PART, "right")) - 1) if len(data) - start[lo] > PART else len(start)
+            end = int(start[hi]) if hi < len(start) else len(data)
+            edges = np.append(start[lo:hi], end) - start[lo]
+            found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data[start[lo] : end])]).dictionary_encode()
+            codes = self._codes(found.dictionary.to_pylist(), odd)
+            size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+            flat, first = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(size) - size
+            which = found.indices.to_numpy()
+            n = size[which]
+            shift = first[which] - (np.cumsum(n) - n)
+            ids.append(flat[np.repeat(shift, n) + np.arange(int(n.sum()))])
+            sizes.append(n)
+            lo = hi
+        total = np.concatenate([[0], *sizes]).cumsum() if sizes else np.zeros(1, np.int64)
+        at = total[np.searchsorted(start, off)]
+        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), np.diff(at)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes."""
+        ids, n = self.arrays(pa.array(texts, pa.large_string()))
+        raw, to = ids.tobytes(), (4 * np.cumsum(n)).tolist()
+        return [raw[a:b] for a, b in zip([0, *to[:-1]], to, strict=True)]
+
+
+def _holds(data: memoryview, what: bytes) -> bool:
+    """Whether bytes hold others; looked for part by part."""
+    step = PIECE
+    return any(what in bytes(data[at : at + step + len(what) - 1]) for at in range(0, len(data), step))
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import arrow_map, only, running_sum, saved, slices, to_batch
-from .subwords import TOKENIZER, shared_encoder
+from .subwords import PART, TOKENIZER, shared_encoder
 
 LENGTH = 1024
 UNIT = 4
@@ -33,16 +33,16 @@ _PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _cut(size: int, unit: int, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared_encoder(path)
-        end = np.array([END], "<u4").tobytes()
-        for b in slices(batches):
-            texts = [t or "" for t in b.column("text").to_pylist()]
+        for b in slices(batches, limit=PART):
+            ids, lengths = enc.arrays(b.column("text"))
+            raw = np.insert(ids, np.cumsum(lengths), END).tobytes()
             rows: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.ids(texts), strict=True):
-                ids += end
-                n = len(ids) // 4
+            begin = 0
+            for doc, n in zip(b.column("doc_id").to_pylist(), (lengths + 1).tolist(), strict=True):
                 for at in range(0, n, size):
                     m = min(size, n - at)
-                    rows.append((doc, at, m, zlib.crc32(ids[4 * at : 4 * (at + m)]), n, -(-m // unit)))
+                    rows.append((doc, at, m, zlib.crc32(raw[begin + 4 * at : begin + 4 * (at + m)]), n, -(-m // unit)))
+                begin += 4 * n
             d, s, m, c, n, k = zip(*rows, strict=True)
             yield to_batch(_PIECES, doc_id=list(d), start=list(s), length=list(m), ids_crc32=list(c), doc_tokens=list(n), cls=list(k))
 

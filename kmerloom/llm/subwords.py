@@ -104,7 +104,7 @@ class Encoder:
 
     def _codes(self, pieces: list[bytes], odd: bool) -> list[bytes]:
         """The ids of distinct pieces. odd: some may hold a special token's string."""
-        if len(self.new) > CACHE:
+        if len(self.new) + len(pieces) > CACHE:
             self.old, self.new = self.new, {}
         out = list(map(self.new.get, pieces))
         at = [i for i, x in enumerate(out) if x is None]

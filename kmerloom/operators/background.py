@@ -56,17 +56,20 @@ def _draw(seed: int, below: Column, *of: str) -> Column:
 def random_intervals(wanted: DataFrame, chrom_sizes: DataFrame, seed: int, tries: int = 8) -> DataFrame:
     """wanted(id, len) -> id, chrom, start, end, strand at uniform places of the genome.
 
-    Each id draws until its interval lies in one chromosome: `tries` places,
-    then, for the ids still without one, four times as many, and so on. Only ids
-    longer than every chromosome are dropped.
+    Each id draws until its interval lies in one chromosome: one place, then,
+    for the ids still without one, `tries` more, four times as many, and so on.
+    Only ids longer than every chromosome are dropped.
     """
     sizes = chrom_sizes.select("chrom", F.col("length").alias("chrom_length"))
-    whole = chrom_sizes.agg(F.sum("length"), F.max("length")).first()
-    left, found, first = wanted.select("id", "len").where(F.col("len") <= (whole[1] or 0)), None, 1
+    whole = chrom_sizes.agg(F.sum("length"), F.max("length"), F.count("*")).first()
+    if whole[2] <= I.FEW:
+        sizes = F.broadcast(sizes)
+    # a small file is one partition, whatever its rows cost
+    left, found, first, times = saved(wanted.select("id", "len").where(F.col("len") <= (whole[1] or 0)).repartition("id")), None, 1, 1
     strand = F.when(_draw(seed, F.lit(2), "id") == 0, "+").otherwise("-")
     while True:
         draw = _draw(seed, F.lit(max(whole[0] or 0, 1)), "id", "try") + 1
-        d = left.select("id", "len", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))).alias("try")).withColumn("pos", draw)
+        d = left.select("id", "len", F.explode(F.sequence(F.lit(first), F.lit(first + times - 1))).alias("try")).withColumn("pos", draw)
         at = I.locate(d, chrom_sizes).join(sizes, "chrom").where("offset + len - 1 <= chrom_length")
         one = at.groupBy("id").agg(F.min_by(F.struct("chrom", "offset", "len"), "try").alias("x"))
         part = saved(one.select("id", "x.chrom", F.col("x.offset").alias("start"), (F.col("x.offset") + F.col("x.len") - 1).alias("end"), strand.alias("strand")))
@@ -74,7 +77,7 @@ def random_intervals(wanted: DataFrame, chrom_sizes: DataFrame, seed: int, tries
         left = saved(left.join(part.select("id"), "id", "left_anti"))
         if left.isEmpty():
             return found
-        first, tries = first + tries, 4 * tries
+        first, times = first + times, tries if first == 1 else 4 * times
 
 
 def features(intervals: DataFrame, genome: DataFrame, masks: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Chromosomes that are broadcast where there are no more; their rows are counted first.
+FEW = 100_000
+
+
 def overlaps(a: DataFrame, b: DataFrame, bin_size: int = 1024) -> DataFrame:
     """Pairs of intervals (chrom, start, end, id) that share a position: id_a, id_b, width of what they share.
 
@@ -39,7 +43,8 @@ def locate(positions: DataFrame, chrom_sizes: DataFrame, bin_size: int | None =
 
     chrom_sizes(ord, chrom, length). An equi-join on bins of the concatenated
     genome: a chromosome goes to the bins it touches. The bin is by default the
-    mean length, which makes at most two rows a chromosome and bin.
+    mean length, which makes at most two rows a chromosome and bin; up to FEW
+    chromosomes go to the positions.
     """
     from kmerloom.plans.ranks import by_quantile, running_sums
 
@@ -49,6 +54,8 @@ def locate(positions: DataFrame, chrom_sizes: DataFrame, bin_size: int | None =
     c = running_sums(c, "_slot", [F.col("ord")], {"before": "length"}).where("length > 0")
     bins = F.explode(F.sequence(F.floor(F.col("before") / size), F.floor((F.col("before") + F.col("length") - 1) / size)))
     c = c.select("chrom", "length", "before", bins.alias("_bin"))
+    if bin_size is None and whole[1] <= FEW:
+        c = F.broadcast(c)
     p = positions.withColumn("_bin", F.floor((F.col("pos") - 1) / size))
     j = p.join(c, "_bin").where((F.col("pos") > F.col("before")) & (F.col("pos") <= F.col("before") + F.col("length")))
     return j.withColumn("offset", F.col("pos") - F.col("before")).drop("before", "length", "_bin")

@@ -22,3 +22,13 @@ def test_draws_go_on_until_an_interval_fits(spark):
     wanted = spark.range(200).selectExpr("id", "IF(id = 199, 31L, 30L) AS len")
     got = background.random_intervals(wanted, sizes, 1).collect()
     assert sorted(r.id for r in got) == list(range(199)) and {(r.start, r.end) for r in got} == {(1, 30)}
+
+
+def test_most_draw_once(spark, monkeypatch):
+    """Where nearly all places fit, places drawn are few more than intervals, however many a later round may draw."""
+    drawn, old = [], background.I.locate
+    monkeypatch.setattr(background.I, "locate", lambda d, sizes: drawn.append(d.count()) or old(d, sizes))
+    sizes = spark.createDataFrame([(k, f"c{k}", 1_000) for k in range(20)], "ord int, chrom string, length long")
+    wanted = spark.range(2_000).selectExpr("id", "20L AS len")
+    got = background.random_intervals(wanted, sizes, 1, 40)
+    assert sorted(r.id for r in got.collect()) == list(range(2_000)) and sum(drawn) < 4 * 2_000

@@ -12,9 +12,9 @@ candidates, and every pair of candidates is either compared exactly or known to
 be in one class already. First each band's texts are compared with one of them,
 the one with most company (the original, where copies have one), which costs as
 many comparisons as there are texts. Bands whose other texts are then still of
-different classes go on, with another pivot, and at last all pairs of what is
-left of a band are compared, in blocks of bounded size. Bands with the same
-texts are one.
+different classes go on, with another pivot, and at last what is left of a band
+is compared in blocks of bounded size: all pairs, but for those within the
+band's largest class. Bands with the same texts are one.
 """
 
 from __future__ import annotations
@@ -262,6 +262,28 @@ def _bands_once(live: DataFrame) -> DataFrame:
     return bands.groupBy("n", "s", "least").agg(F.min("key").alias("key")).select("key", "n")
 
 
+def _blocks(live: DataFrame, labels: DataFrame | None, total: int, block: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
+    """live(node, key, n) -> node, key, label, i, j: a row for each pair of blocks (i, j) of its band that a text is in.
+
+    Any two texts of a band and of different classes meet in a pair of blocks.
+    The texts of the band's largest class meet those of the others alone, so a
+    class costs as many rows as it has texts for each block of others.
+    """
+    d = live.select("node", "key", "n")
+    d = d.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else d.withColumn("label", F.col("node"))
+    d = saved(d)
+    of_class = d.groupBy("key", "n", "label").agg(F.count("*").alias("c"))
+    bands = of_class.groupBy("key", "n").agg(F.max(F.struct("c", "label")).alias("m")).select("key", "n", F.col("m.c").alias("c"), F.col("m.label").alias("largest")).where("c < n")
+    bands = saved(bands)
+    d = split_join(d.drop("n"), bands, "key", "node", heavy_keys(bands.select("key", "n"), "key", total, heavy))
+    mine, theirs = (F.ceil(x / block).cast("int") for x in (F.col("c"), F.col("n") - F.col("c")))
+    d = d.select("node", "key", "label", (F.col("label") == F.col("largest")).alias("inner"), mine.alias("mine"), theirs.alias("theirs"))
+    h = F.xxhash64("node", "key")
+    d = d.withColumn("block", F.when(F.col("inner"), F.pmod(h, F.col("mine"))).otherwise(F.col("mine") + F.pmod(h, F.col("theirs"))).cast("int"))
+    other = F.explode(F.sequence(F.when(F.col("inner"), F.col("mine")).otherwise(F.lit(0)), F.col("mine") + F.col("theirs") - 1))
+    return d.select("node", "key", "label", "block", other.alias("other")).select("node", "key", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS, rows: int = ROWS, num: int = NUM, den: int = DEN, pivots: int = PIVOTS, block: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, class_id (the smallest id of its class), one row per input row.
 
@@ -275,7 +297,8 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
 
     Cost: linear, but for bands whose texts are alike without being near any of
     the `pivots` texts of the band that all others are compared with: their
-    pairs are compared block by block (`block` texts a side). A task holds two
+    pairs are compared block by block (`block` texts a side), those within the
+    largest class left out. A task holds two
     blocks and emits at most one link per text.
     """
     counts = weights == "count"
@@ -301,8 +324,8 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
         if live.isEmpty():
             break
         # of a band's texts the one with most company; the smallest node on ties
-        company = live.groupBy("node").agg(F.sum("n").alias("company"))
-        most = saved(live.join(company, "node").groupBy("key", "n").agg(F.min(F.struct((-F.col("company")).alias("c"), "node")).alias("m")).select("key", "n", F.col("m.node").alias("pivot")))
+        own = live.groupBy("node").agg(F.sum("n").alias("company"), F.collect_list(F.struct("key", "n")).alias("own")).select("node", "company", F.explode("own").alias("band"))
+        most = saved(own.groupBy("band.key", "band.n").agg(F.min(F.struct((-F.col("company")).alias("c"), "node")).alias("m")).select("key", "n", F.col("m.node").alias("pivot")))
         hot = heavy_keys(most.select("key", "n"), "key", total, heavy)
         each = saved(split_join(live.select("key", "node"), most, "key", "node", hot))
         pairs = saved(each.where("pivot <> node").select("pivot", "node").distinct())
@@ -319,11 +342,7 @@ def near_duplicates(docs: DataFrame, weights: str = "unit", bands: int = BANDS,
         left = live.join(split, "key", "left_semi")
         live = of(left.select("node", "key"), _bands_once(left.select("node", "key")))
     if not live.isEmpty():
-        count = F.ceil(F.col("n") / block).cast("int")
-        spot = live.select("node", "key", count.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        spot = spot.select("node", "key", "block", other.alias("other")).select("node", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        spot = spot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else spot.withColumn("label", F.col("node"))
+        spot = _blocks(live, labels, total, block, heavy)
         found = spot.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_compare(num, den), _EDGE)
         links = saved(found if links is None else found.unionByName(links))
         labels = components(links, heavy=heavy)

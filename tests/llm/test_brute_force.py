@@ -297,6 +297,20 @@ def test_groups_without_a_centre_and_hot_bands(spark):
         assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(d, **options).collect()} == want
 
 
+def test_blocks_of_a_large_class_grow_with_its_texts(spark):
+    """A band with one large class and a few other texts: all pairs of different classes meet, in about a row a text and block of others."""
+    for n in (60, 120):
+        live = spark.range(n).selectExpr("id AS node", "7L AS key", f"{n}L AS n")
+        labels = spark.range(n - 4).selectExpr("id AS node", "0L AS label")
+        rows = near_dups._blocks(live, labels, n, block=6).collect()
+        assert len(rows) == (n - 4) + 4 * (-(-(n - 4) // 6) + 1)
+        groups = {}
+        for r in rows:
+            groups.setdefault((r.i, r.j), set()).add(r.node)
+        met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+        assert met >= {(a, b) for b in range(n - 4, n) for a in range(b)}
+
+
 def test_rows_of_one_id_have_the_class_of_their_text(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     d = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (7, None), (7, None)], "doc_id long, text string")

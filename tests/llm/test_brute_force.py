@@ -545,3 +545,25 @@ def test_mixing_targets(spark):
     for x in found:
         assert x.target <= 3 * x.source_size + 1e-6 and abs(x["sum(taken)"] - x.target) <= 50
     assert sorted(map(tuple, r.collect()), key=repr) == sorted(map(tuple, mixing.mix_sources(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string")).collect()), key=repr)
+
+
+def test_network_learns_from_every_training_text(spark, monkeypatch):
+    """Each round's shards hold all training texts, or, of many chunks, each one of them; none is left out."""
+    n_ids, end = lm.id_range()
+    texts = {i: " ".join(f"w{i}x{j}" for j in range(5)) for i in range(300)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    part, _, bits = exchange.dealt(d.withColumn("held_out", common.crc_mod("doc_id", 7) == 2), doc_id="bigint", text="string", held_out="boolean")
+    coded = common.saved(part.groupBy("chunk").applyInArrow(lm._send(bits, 10, n_ids, end, subwords.TOKENIZER), exchange.SENT)).where("bucket < 0")
+    stats = lm.train([np.arange(300)], n_ids, end, steps=0).stats
+    found, work = [], lm._work_ids
+    monkeypatch.setattr(lm, "_work_ids", lambda held, *a: found.append(b := work(held, *a)) or b)
+    net = lm.fit_ids(coded, stats, n_ids, steps=2, rounds=2)
+    assert np.isfinite(net.flat()).all() and len(found) == 2
+    ids = subwords.shared_encoder().ids([texts[i] for i in texts if zlib.crc32(str(i).encode()) % 7 != 2])
+    want = sum(len(x) // 4 + 1 for x in ids) + len(ids)  # ids, ends and openings
+    for f in found:
+        rows = [r for b in f(iter(coded.select("chunk", "hashes", "load").toArrow().to_batches())) for r in b.to_pylist() if r["part"] == -1]
+        assert sum(np.frombuffer(r["x"], float)[0] for r in rows) == want
+    # many chunks: each teaches in one of the rounds
+    parts = [coded.where(f"pmod(xxhash64(chunk), 2) = {r}").select("chunk") for r in (0, 1)]
+    assert sum(p.count() for p in parts) == coded.count()
